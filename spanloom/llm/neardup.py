@@ -5,11 +5,12 @@
 2. The forest: tree t orders the sets by the signature rotated to its t-th part. Each order is dealt by range, so no group lands in one
    task, and read in order; neighbours whose longest common prefix has LEAST components or more share a region. Regions of over CROWD
    sets go deeper, component by component, until they are smaller or DEEPEST is reached.
-3. Candidates are taken from regions in rounds that stay linear: each region tests one pivot (the set that meets most others in
-   all trees, so that a hub's links are found first) against its other sets; sets that are linked need no further test. What
-   regions still hold of different components is compared by signature within the region, and what is likely is tested too.
-4. Candidates whose signatures agree far too little (five standard deviations below the threshold) are dropped; all others are
-   confirmed on their full sets. Components of the links come from alternating star contractions, cut by written tables.
+3. Each region tests one pivot (the set that meets most others in all trees, so that a hub's links are found first) against its
+   other sets: at most one pair for a row. Pairs whose signatures agree far too little (five standard deviations below the
+   threshold) are dropped, the others are confirmed on their full sets.
+4. Regions that still hold sets of different components compare them on their full sets within tasks, in blocks of bounded size; only
+   links that join something come out, so no pairs of a group are made into rows.
+5. Components of the links come from alternating star contractions, cut by written tables.
 
 Two sets at the threshold share no region with probability below 1e-7. Null and empty texts have no set and are linked with nothing. Rows with a null doc_id
 keep a null component and are kept. Repeated doc_ids count as one document whose links are those of all its rows. An
@@ -248,37 +249,95 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return _joined(pairs, sets, "set").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
-BLOCK = 1024
+#: Shingles of a block of a region; two blocks are compared in one task.
+BLOCK = 400_000
 
 
-def rest(members: DataFrame, sigs: DataFrame, heavy: list) -> DataFrame:
-    """Candidate pairs of different components left in one region, by their signatures.
+def local_links(comps: list[int], sets: list[np.ndarray], left: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that join what isn't joined yet, at most one fewer than there are sets: each is confirmed on both full sets.
 
-    They are compared within tasks, without making rows of them; a region of over BLOCK sets is dealt out as pairs of blocks.
+    With left > 0 only the first `left` sets are compared with the others; otherwise all with all.
     """
-    mixed = members.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    m = len(sets)
+    label = np.array(comps, np.int64)
+    size = np.array([len(s) for s in sets], np.int64)
+    if m <= 6:
+        both = np.zeros((m, m), np.int64)
+        for i in range(m):
+            for j in range(i + 1, m):
+                if label[i] != label[j] and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]):
+                    at = np.searchsorted(sets[j], sets[i])
+                    at[at == size[j]] = 0
+                    both[i, j] = (sets[j][at] == sets[i]).sum()
+    else:
+        # shingles that stand in one set only can't be shared; the others are columns of a matrix of zeros and ones
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(m), size)
+        shared = count[column] > 1
+        number = np.cumsum(count > 1) - 1
+        row, column = row[shared], number[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((m, m), np.float64)
+        width = 2048
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            lo, hi = np.searchsorted(column, (at, at + width))
+            some = np.zeros((m, width), np.float32)
+            some[row[lo:hi], column[lo:hi] - at] = 1
+            both += some @ some.T  # whole numbers below 2**24: exact
+        both = both.astype(np.int64)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    out = []
+    for i in range(min(left, m) if left else m):
+        for j in (np.flatnonzero(linked[i, max(i + 1, left) :]) + max(i + 1, left)).tolist():
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def rest(members: DataFrame, sets: DataFrame, heavy: list, percent: int = PERCENT) -> DataFrame:
+    """Links between different components that a region still holds.
+
+    A region's sets are compared within tasks, on the full sets, without making rows of pairs; only the links that
+    join something come out. A region with over BLOCK shingles is dealt out as pairs of blocks. members: region, rep, n, comp.
+    """
+    mixed = members.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("n")).where("lo <> hi")
     mixed = mixed.select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = skew_join(members.select("region", "rep", "comp"), mixed, "region", heavy=heavy)
     rows = staged(rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "neardup-mixed")
-    rows = skew_join(rows, sigs, "rep")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("region", "rep", "comp", "sig", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = skew_join(rows, sets, "rep").withColumn("other", other)
+    rows = rows.select("region", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "comp", "set")
+    rows = rows.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "own", "rep")
+
+    def run(batches):
+        name, held = None, []
+
+        def links():
+            x, y = name[1], name[2]
+            left = sum(h[0] == x for h in held) if x != y else 0
+            if len(held) < 2 or (x != y and left in (0, len(held))):
+                return []
+            found = local_links([h[2] for h in held], [np.frombuffer(h[3], np.uint64) for h in held], left, percent)
+            return [(min(held[i][1], held[j][1]), max(held[i][1], held[j][1])) for i, j in found]
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(df.x.iat[0]), int(df.y.iat[0])
-        one, two = (df[df.own == b].sort_values("rep") for b in (x, y))
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        s, t = (np.frombuffer(b"".join(d.sig), np.uint32).reshape(-1, HASHES) for d in (one, two))
-        reps, comps = two.rep.to_numpy(), two.comp.to_numpy()
-        out = []
-        for i, (r, c) in enumerate(zip(one.rep, one.comp)):
-            at = i + 1 if x == y else 0
-            near = ((t[at:] == s[i]).mean(1) >= LIKELY) & (comps[at:] != c)
-            out += [(min(r, q), max(r, q)) for q in reps[at:][near]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        def batch_of(pairs):
+            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+        for batch in batches:
+            out = []
+            for region, x, y, own, rep, comp, s in zip(*(batch.column(c).to_pylist() for c in ("region", "x", "y", "own", "rep", "comp", "set"))):
+                if (region, x, y) != name:
+                    if name:
+                        out += links()
+                    name, held = (region, x, y), []
+                held.append((own, rep, comp, s))
+            yield batch_of(out)
+        if name:
+            yield batch_of(links())
 
-    return rows.groupBy("region", "x", "y").applyInPandas(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, most: int = 40) -> DataFrame:
@@ -309,7 +368,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     marked = staged(signed(docs), "neardup-signed")
     known = marked.where("doc_id is not null and key is not null")
-    reps = staged(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "neardup-reps")
+    reps = staged(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")), "neardup-reps")
     # a document with several rows can be the smallest of several sets: those are one node
     nodes = reps.groupBy("rep").agg(F.first("sig").alias("sig"), F.count(F.lit(1)).alias("keys"))
     several = nodes.where("keys > 1").limit(1).count() > 0 or known.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").limit(1).count() > 0
@@ -318,7 +377,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sigs = reps.select("rep", "sig")
     members = staged(forest(sigs), "neardup-members")
     weight = skew_join(members, members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region").groupBy("rep").agg(F.sum("m").alias("weight"))
-    weight = staged(weight, "neardup-weights")
+    weight = staged(weight.join(reps.select("rep", "n"), "rep"), "neardup-weights")
     # only sets that share a region need their full hashes again
     own = ids_and_texts(docs).join(weight.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
@@ -329,26 +388,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"rep": pa.array(keys[a:b], pa.int64()), "set": pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary())})
 
     sets = staged(own.mapInArrow(full, "rep long, set binary"), "neardup-sets")
-    links, comp = None, weight.select("rep", F.col("rep").alias("comp"))
-    tested, crowded, hubs = None, heavy_keys(members, "region"), heavy_keys(members, "rep")
-    for step in ("pivots", "pivots", "rest"):
-        here = skew_join(members, weight.join(comp, "rep"), "rep", heavy=hubs)
-        if step == "pivots":
-            pairs = likely(staged(pivots(here, crowded), "neardup-candidates"), sigs)
-        else:
-            pairs = rest(staged(here, "neardup-here"), sigs, crowded)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "neardup-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = staged(confirmed(pairs, sets, percent), "neardup-links")
-        links = found if links is None else links.unionByName(found)
-        joint = components(links)
-        comp = staged(weight.select("rep").join(joint, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "neardup-components")
+    crowded, hubs = heavy_keys(members, "region"), heavy_keys(members, "rep")
+    comp = weight.select("rep", F.col("rep").alias("comp"))
+    here = staged(skew_join(members, weight.withColumn("comp", F.col("rep")), "rep", heavy=hubs), "neardup-here")
+    pairs = staged(likely(staged(pivots(here, crowded), "neardup-candidates"), sigs), "neardup-pairs")
+    links = staged(confirmed(pairs, sets, percent), "neardup-links")
+    comp = _settled(weight, links)
+    here = staged(skew_join(members, weight.join(comp, "rep"), "rep", heavy=hubs), "neardup-here")
+    more = staged(rest(here, sets, crowded, percent), "neardup-links")
+    comp = _settled(weight, links.unionByName(more))
     named = reps.select("key", "rep").join(comp, "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     return _result(marked, named)
 
 
+def _settled(weight: DataFrame, links: DataFrame) -> DataFrame:
+    joint = components(links)
+    return staged(weight.select("rep").join(joint, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "neardup-components")
+
+
 def _result(marked: DataFrame, named: DataFrame) -> DataFrame:
     out = skew_join(marked.drop("sig"), named, "key", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
