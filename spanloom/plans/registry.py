@@ -1,9 +1,426 @@
-"""The registered queries and their SQL."""
+"""The registered queries and, beside each, the SQL that says the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import dictionaries as D
+from spanloom.functions import text as X
+from spanloom.operators import audit, bio, detect, geometry
+from spanloom.plans import sqltext as S
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(S.NOTES, customer=table(spark, sf_dir, "customer").select("c_custkey"))
+
+
+def detected_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.standard(notes(spark, sf_dir))
+
+
+def note_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.rows(detected_notes(spark, sf_dir))
+
+
+def _spans(df: DataFrame, spans) -> DataFrame:
+    return df.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.end", "s.entity_type", "s.score", "s.text", "s.pattern_name")
+
+
+_SIX = 'doc_id, start, "end", entity_type, score, text, pattern_name'
+
+
+# recognizers
+
+
+def _general(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _spans(documents(spark, sf_dir), detect.general(F.col("text"), [name]))
+
+    run.__name__ = "detect_card_luhn" if name == "card" else f"detect_{name}"
+    query(f"SELECT {_SIX} FROM ({S.general(S.DOCS_SQL, [name])})")(run)
+
+
+for _n in ("email", "ip", "card", "url", "phone", "date", "bank", "passport", "driver"):
+    _general(_n)
+
+
+def _patterns(name: str, which: list[str]):
+    chosen = [p for p in D.PATTERNS if p.name in which]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _spans(notes(spark, sf_dir), detect.recognized(F.col("text"), chosen))
+
+    run.__name__ = name
+    query(f"SELECT {_SIX} FROM ({S.recognized(S.NOTES_SQL, chosen)})")(run)
+
+
+_patterns("detect_medical_terms", ["medical_term"])
+_patterns("detect_gender", ["gender_term"])
+_patterns("detect_age", ["age_expr"])
+_patterns("detect_device", ["device_udi", "device_serial"])
+_patterns("detect_mrn_npi", ["mrn", "npi"])
+_patterns("detect_surname", ["indian_surname"])
+_patterns("detect_indian_ids", ["aadhaar", "pan_card", "indian_phone"])
+_patterns("detect_facility", ["medical_facility"])
+_patterns("detect_ssn", ["ssn_broad"])
+
+
+@query(f"SELECT {_SIX} FROM ({S.swept(S.NOTES_SQL)})")
+def gazetteer_sweep(spark, sf_dir):
+    return _spans(notes(spark, sf_dir), detect.swept(F.col("text")))
+
+
+@query(f"SELECT entity_type, lower(text) AS term, count(*)::BIGINT AS n FROM ({S.swept(S.NOTES_SQL)}) GROUP BY ALL")
+def gazetteer_counts(spark, sf_dir):
+    return gazetteer_sweep(spark, sf_dir).groupBy("entity_type", F.lower("text").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_NEAR = "list_has_any(list_reverse(list_reverse(regexp_extract_all(lower(substr(d.text, 1, f.start)), '[a-z0-9/#]+'))[1:5]), string_split(w.words, ' '))"
+_WORDS = ", ".join(f"('{p.name}', {S.quoted(p.context)})" for p in D.PATTERNS)
+
+
+@query(
+    f"""SELECT f.doc_id, f.start, f."end", f.entity_type, round(CASE WHEN {_NEAR} THEN greatest({D.CONTEXT_FLOOR}::DOUBLE, least(1.0::DOUBLE, f.score + {D.CONTEXT_BOOST}::DOUBLE)) ELSE f.score END, 4) AS score, f.text, f.pattern_name
+FROM ({S.recognized(S.NOTES_SQL, D.PATTERNS)}) f JOIN ({S.NOTES_SQL}) d ON d.doc_id = f.doc_id JOIN (VALUES {_WORDS}) w(pattern_name, words) ON w.pattern_name = f.pattern_name"""
+)
+def context_boost(spark, sf_dir):
+    own = notes(spark, sf_dir).withColumn("s", detect.recognized(F.col("text")))
+    out = own.withColumn("s", detect.over_threshold(detect.context_boost(F.col("s"), F.col("text"))))
+    return _spans(out, F.col("s")).withColumn("score", F.round("score", 4))
+
+
+# span algebra
+
+_SEVEN = 'doc_id, start, "end", entity_type, round(score, 4) AS score, detected_by, text'
+
+
+def _merged(spark, sf_dir):
+    own = notes(spark, sf_dir).withColumn("__s", F.concat(detect.recognized(F.col("text")), detect.swept(F.col("text"))))
+    return own.withColumn("__s", detect.merge(detect.trim_newlines(F.col("__s"))))
+
+
+def _seven(df: DataFrame, spans) -> DataFrame:
+    return df.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.end", "s.entity_type", F.round("s.score", 4).alias("score"), "s.detected_by", "s.text")
+
+
+@query(f"SELECT {_SEVEN} FROM ({S.merged(S.NOTES_FOUND)})")
+def detect_merge(spark, sf_dir):
+    return _seven(_merged(spark, sf_dir), F.col("__s"))
+
+
+@query(f"SELECT {_SEVEN} FROM ({S.boosted(S.merged(S.NOTES_FOUND), S.NOTES_SQL)})")
+def kinship_boost(spark, sf_dir):
+    return _seven(_merged(spark, sf_dir), detect.kinship_boost(F.col("__s"), F.col("text")))
+
+
+@query(f"SELECT {_SEVEN} FROM ({S.shielded(S.NOTES_FOUND)})")
+def medical_shield(spark, sf_dir):
+    own = notes(spark, sf_dir).withColumn("__s", F.concat(detect.recognized(F.col("text")), detect.swept(F.col("text"))))
+    return _seven(own, detect.shield(F.col("__s")))
+
+
+@query(f"SELECT {_SEVEN}, action FROM ({S.NOTES_DETECTIONS})")
+def classify_action(spark, sf_dir):
+    return note_rows(spark, sf_dir).select("doc_id", "start", "end", "entity_type", F.round("score", 4).alias("score"), "detected_by", "text", "action")
+
+
+@query(f"SELECT doc_id, start, text, regexp_replace(text, '0*([1-9][0-9]{{2,}}|9[0-9])', '90+', 'g') AS shown FROM ({S.NOTES_DETECTIONS}) WHERE action = 'AGE_AGGREGATED'")
+def age_aggregate(spark, sf_dir):
+    return note_rows(spark, sf_dir).where("action = 'AGE_AGGREGATED'").select("doc_id", "start", "text", X.aggregate_age(F.col("text")).alias("shown"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 4 THEN repeat('*', length(text)) ELSE substr(text, 1, 4) || '***' END AS snippet FROM documents")
+def safe_snippet(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.safe_snippet(F.col("text")).alias("snippet"))
+
+
+_SHOWN = "CASE WHEN f.action = 'MASKED' THEN '[' || f.entity_type || ']' WHEN f.action = 'AGE_AGGREGATED' THEN regexp_replace(f.text, '0*([1-9][0-9]{2,}|9[0-9])', '90+', 'g') ELSE f.text END"
+
+
+def _redacted(docs: str, found: str) -> str:
+    return f"""SELECT d.doc_id, coalesce(string_agg(substr(d.text, f.before + 1, f.start - f.before) || {_SHOWN}, '' ORDER BY f.start), '') || substr(any_value(d.text), coalesce(max(f."end"), 0) + 1) AS redacted_text
+FROM ({docs}) d LEFT JOIN (SELECT *, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM ({found})) f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+@query(_redacted(S.NOTES_SQL, S.NOTES_DETECTIONS))
+def redact_text(spark, sf_dir):
+    return detected_notes(spark, sf_dir).select("doc_id", detect.redact(F.col("text"), F.col("detections")).alias("redacted_text"))
+
+
+def _documents_detected(spark, sf_dir):
+    return detect.standard(documents(spark, sf_dir), sources=[], extra=["email", "ip", "card", "phone"])
+
+
+@query(_redacted(S.DOCS_SQL, S.DOCS_DETECTIONS))
+def redact_documents(spark, sf_dir):
+    return _documents_detected(spark, sf_dir).select("doc_id", detect.redact(F.col("text"), F.col("detections")).alias("redacted_text"))
+
+
+# audits
+
+_NOTES_AUDITS = S.audits(S.NOTES_SQL, S.NOTES_DETECTIONS)
+
+
+@query(S.audits(S.DOCS_SQL, S.DOCS_DETECTIONS))
+def audit_documents(spark, sf_dir):
+    return audit.audits(_documents_detected(spark, sf_dir))
+
+
+@query(_NOTES_AUDITS)
+def audit_summary(spark, sf_dir):
+    return audit.audits(detected_notes(spark, sf_dir))
+
+
+@query(f"SELECT safety_status, count(*)::BIGINT AS n, CASE WHEN safety_status = 'UNLOCKED' THEN 'Document passed the confidence gate.' ELSE 'Confidence below threshold: manual review required.' END AS message FROM ({S.audits(S.NOTES_SQL, S.NOTES_DETECTIONS, 0.9)}) GROUP BY safety_status")
+def confidence_gate(spark, sf_dir):
+    out = audit.audits(detected_notes(spark, sf_dir), threshold=0.9).groupBy("safety_status").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("message", audit.message(F.col("safety_status")))
+
+
+_PRESETS = [0.98, 0.90, 0.85, 0.70]
+
+
+@query(
+    f"SELECT threshold, count(*) FILTER (WHERE ensemble_mean_confidence >= threshold)::BIGINT AS unlocked, count(*) FILTER (WHERE ensemble_mean_confidence < threshold)::BIGINT AS locked, threshold < 0.98::DOUBLE AS non_production FROM ({_NOTES_AUDITS}), (SELECT unnest({_PRESETS}::DOUBLE[]) AS threshold) GROUP BY threshold"
+)
+def threshold_whatif(spark, sf_dir):
+    return audit.whatif(audit.audits(detected_notes(spark, sf_dir)), _PRESETS)
+
+
+@query(f"SELECT a.doc_id, safety_status, coalesce(r.reviews, 0)::BIGINT AS reviews, CASE WHEN r.reviews > 0 THEN 'UNLOCKED' ELSE safety_status END AS final_status FROM ({_NOTES_AUDITS}) a LEFT JOIN (SELECT user_id AS doc_id, count(*) AS reviews FROM events WHERE event_type = 'click' GROUP BY user_id) r USING (doc_id)")
+def review_unlock(spark, sf_dir):
+    events = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("doc_id"))
+    return audit.reviewed(audit.audits(detected_notes(spark, sf_dir)), events).select("doc_id", "safety_status", "reviews", "final_status")
+
+
+@query(f"SELECT w.doc_id, (CASE WHEN a.doc_id IS NULL THEN 404 WHEN a.safety_status <> 'UNLOCKED' THEN 403 ELSE 200 END)::BIGINT AS http_status FROM (SELECT DISTINCT o_custkey + 50 AS doc_id FROM orders) w LEFT JOIN ({S.audits(S.NOTES_SQL, S.NOTES_DETECTIONS, 0.9)}) a USING (doc_id)")
+def download_gate(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 50).alias("doc_id")).distinct()
+    return audit.downloads(audit.audits(detected_notes(spark, sf_dir), threshold=0.9), wanted)
+
+
+@query(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::BIGINT AS seq, entity_type, CASE WHEN length(text) <= 4 THEN repeat('*', length(text)) ELSE substr(text, 1, 4) || '***' END AS original_text, round(score, 4) AS confidence_score, action, detected_by FROM ({S.NOTES_DETECTIONS})")
+def phi_metadata(spark, sf_dir):
+    return audit.metadata(detected_notes(spark, sf_dir))
+
+
+@query(f"SELECT action, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM ({S.NOTES_DETECTIONS}) GROUP BY action")
+def action_filter(spark, sf_dir):
+    return note_rows(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"SELECT CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'mid' ELSE 'low' END AS band, count(*)::BIGINT AS n FROM (SELECT round(score, 4) AS score FROM ({S.NOTES_DETECTIONS})) GROUP BY ALL")
+def score_bands(spark, sf_dir):
+    return note_rows(spark, sf_dir).groupBy(audit.band(F.round("score", 4)).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_CUSTOM = S.detections(S.NOTES_SQL, S.recognized(S.NOTES_SQL, D.PATTERNS[:8]))
+_AB = f"SELECT a.doc_id, m.metric, m.s AS standard, m.c AS custom, round(m.c - m.s, 4) AS difference FROM ({_NOTES_AUDITS}) a JOIN ({S.audits(S.NOTES_SQL, _CUSTOM)}) b ON a.doc_id = b.doc_id, LATERAL (VALUES ('total_entities_detected', a.total_entities_detected::DOUBLE, b.total_entities_detected::DOUBLE), ('total_entities_masked', a.total_entities_masked::DOUBLE, b.total_entities_masked::DOUBLE), ('ensemble_mean_confidence', a.ensemble_mean_confidence, b.ensemble_mean_confidence)) m(metric, s, c)"
+
+
+@query(f"SELECT *, CASE WHEN difference = 0 THEN 'same' WHEN difference > 0 THEN 'better' ELSE 'worse' END AS verdict FROM ({_AB})")
+def ab_compare(spark, sf_dir):
+    own = notes(spark, sf_dir)
+    other = own.withColumn("__s", detect.merge(detect.recognized(F.col("text"), D.PATTERNS[:8]))).withColumn("detections", detect.classify(detect.kinship_boost(F.col("__s"), F.col("text"))))
+    return audit.compare_engines(audit.audits(detect.standard(own)), audit.audits(other))
+
+
+@query(f"SELECT doc_id, substr(md5(doc_id::VARCHAR || '|standard'), 1, 12) AS audit_id, safety_status AS status, ensemble_mean_confidence, total_entities_detected, total_entities_masked, ensemble_mean_confidence >= 0.98 AS confident FROM ({_NOTES_AUDITS})")
+def history(spark, sf_dir):
+    a = audit.audits(detected_notes(spark, sf_dir))
+    return a.select("doc_id", audit.audit_id().alias("audit_id"), F.col("safety_status").alias("status"), "ensemble_mean_confidence", "total_entities_detected", "total_entities_masked", (F.col("ensemble_mean_confidence") >= 0.98).alias("confident"))
+
+
+@query(f"SELECT * FROM ({_NOTES_AUDITS}) WHERE doc_id = 17")
+def audit_lookup(spark, sf_dir):
+    return audit.audits(detect.standard(notes(spark, sf_dir).where("doc_id = 17")))
+
+
+@query(f"SELECT doc_id, 'AUDIT ' || doc_id || ' detected=' || total_entities_detected || ' masked=' || total_entities_masked || ' status=' || safety_status AS line FROM ({_NOTES_AUDITS})")
+def audit_log(spark, sf_dir):
+    return audit.log_lines(audit.audits(detected_notes(spark, sf_dir)))
+
+
+# words and boxes
+
+
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), "text")
+
+
+_TURNS = "SELECT conv_id AS doc_id, turn AS page_number, text FROM conversations"
+_WORDS_SQL = f"SELECT doc_id, page_number, (i - 1)::BIGINT AS word_no, w[i] AS word, (coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0))::BIGINT AS start FROM (SELECT doc_id, page_number, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, page_number, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+') AS w FROM ({_TURNS})))"
+
+
+@query(f'SELECT *, (start + length(word))::BIGINT AS "end" FROM ({_WORDS_SQL})')
+def word_offsets(spark, sf_dir):
+    return geometry.word_offsets(geometry.explode_words(_pages(spark, sf_dir))).withColumn("word_no", F.col("word_no").cast("long"))
+
+
+@query(f"SELECT doc_id, page_number, string_agg(word, ' ' ORDER BY word_no) AS text FROM ({_WORDS_SQL}) GROUP BY ALL")
+def page_text(spark, sf_dir):
+    return geometry.page_text(geometry.explode_words(_pages(spark, sf_dir)))
+
+
+@query(f"SELECT doc_id, page_number, length(trim(coalesce(text, ''))) < 60 AS needs_ocr FROM ({_TURNS})")
+def sparse_pages(spark, sf_dir):
+    return geometry.sparse(_pages(spark, sf_dir), 60).select("doc_id", "page_number", "needs_ocr")
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS chunk_no, l_returnflag || 'b cdef' || l_linestatus AS text, (l_quantity * 0.24)::DOUBLE AS x0, (l_quantity * 0.24 + 60)::DOUBLE AS x1 FROM lineitem),
+w AS (SELECT *, string_split(text, ' ') AS w, length(replace(text, ' ', '')) AS n FROM c),
+e AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)
+SELECT doc_id, chunk_no, (i - 1)::BIGINT AS part, w[i] AS word, round(x0 + (x1 - x0) * coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) / n, 2) AS x0, round(x0 + (x1 - x0) * list_sum(list_transform(w[1:i], lambda x: length(x))) / n, 2) AS x1 FROM e"""
+)
+def ocr_split_boxes(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    left, right = (F.col("l_quantity") * 100).cast("double"), (F.col("l_quantity") * 100 + 25000).cast("double")
+    point = lambda x, y: F.struct(x.alias("x"), F.lit(float(y)).alias("y"))
+    chunks = line.select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), F.col("l_linenumber").cast("long").alias("chunk_no"), F.concat("l_returnflag", F.lit("b cdef"), "l_linestatus").alias("text"),
+        F.lit(0.9).alias("conf"), F.array(point(left, 0), point(right, 0), point(right, 10), point(left, 10)).alias("bbox"), F.lit(0.0024).alias("scale_x"), F.lit(0.24).alias("scale_y"),
+    )
+    out = geometry.split_chunks(geometry.scale_boxes(chunks))
+    return out.select("doc_id", "chunk_no", "part", "word", F.round("x0", 2).alias("x0"), F.round("x1", 2).alias("x1"))
+
+
+def _note_words(spark, sf_dir):
+    words = geometry.explode_words(notes(spark, sf_dir).withColumn("page_number", F.lit(1)))
+    words = geometry.word_offsets(words)
+    return words.withColumn("x0", F.col("start") * 6.0).withColumn("y0", F.lit(0.0)).withColumn("x1", F.col("end") * 6.0).withColumn("y1", F.lit(10.0))
+
+
+def _note_entities(spark, sf_dir):
+    return note_rows(spark, sf_dir).withColumn("page_number", F.lit(1))
+
+
+_NOTE_WORDS = f"SELECT doc_id, (i - 1)::BIGINT AS word_no, w[i] AS word, coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS ws, length(w[i]) AS wl FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM ({S.NOTES_SQL})))"
+_RECTS = f'SELECT f.doc_id, f.start, f."end", f.entity_type, f.action, w.word_no, w.word, (w.ws * 6)::DOUBLE AS x0, ((w.ws + w.wl) * 6)::DOUBLE AS x1 FROM ({S.NOTES_DETECTIONS}) f JOIN ({_NOTE_WORDS}) w ON w.doc_id = f.doc_id AND w.ws + w.wl > f.start AND w.ws < f."end"'
+
+
+@query(f"SELECT doc_id, start, entity_type, word_no, word, x0, x1 FROM ({_RECTS})")
+def entity_rects(spark, sf_dir):
+    hit = geometry.entity_words(_note_entities(spark, sf_dir), _note_words(spark, sf_dir))
+    return hit.select("doc_id", "start", "entity_type", F.col("word_no").cast("long").alias("word_no"), "word", "x0", "x1")
+
+
+@query(f"SELECT doc_id, start, entity_type, round(min(x0), 2) AS x0, 0.0::DOUBLE AS y0, round(max(x1), 2) AS x1, 10.0::DOUBLE AS y1 FROM ({_RECTS}) GROUP BY doc_id, start, entity_type")
+def union_bbox(spark, sf_dir):
+    return geometry.union_boxes(_note_entities(spark, sf_dir), _note_words(spark, sf_dir)).select("doc_id", "start", "entity_type", "x0", "y0", "x1", "y1")
+
+
+@query(f"SELECT doc_id, start, word_no, CASE WHEN action = 'MASKED' THEN '[' || entity_type || ']' ELSE '90+' END AS label, CASE WHEN action = 'MASKED' THEN 'black' ELSE 'white' END AS fill FROM ({_RECTS}) WHERE action <> 'KEPT'")
+def mask_annotations(spark, sf_dir):
+    entities = _note_entities(spark, sf_dir)
+    out = geometry.annotations(entities, _note_words(spark, sf_dir)).join(entities.select("doc_id", "seq", "start"), ["doc_id", "seq"])
+    return out.select("doc_id", "start", F.col("word_no").cast("long").alias("word_no"), "label", "fill")
+
+
+# BIO
+
+_LABELS = ["O", "B-Name", "I-Name", "B-Date", "I-Date", "I-Name"]
+
+
+@query(
+    f"""WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, {_LABELS}[1 + l_partkey % 6] AS label, (l_quantity / 64)::DOUBLE AS score FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
+a AS (SELECT *, label <> 'O' AS inside, substr(label, 3) AS stem, sum(CASE WHEN label = 'O' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM p),
+b AS (SELECT *, max(CASE WHEN label LIKE 'B-%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, seg ORDER BY pos) AS opened FROM a),
+c AS (SELECT *, CASE WHEN label LIKE 'B-%' OR stem IS DISTINCT FROM lag(stem) OVER (PARTITION BY doc_id, seg ORDER BY pos) THEN 1 ELSE 0 END AS fresh FROM b WHERE inside AND opened = 1),
+e AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, seg ORDER BY pos) AS ent FROM c)
+SELECT doc_id, min(pos * 10)::BIGINT AS start, max(pos * 10 + 5)::BIGINT AS "end", CASE WHEN any_value(stem) = 'Name' THEN 'PERSON' ELSE 'DATE_TIME' END AS entity_type, round(avg(score), 4) AS score FROM e GROUP BY doc_id, seg, ent"""
+)
+def bio_decode(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").alias("l_quantity"))
+    labels = F.array(*[F.lit(x) for x in _LABELS])
+    p = line.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), (F.col("l_linenumber") * 10).alias("char_start"), (F.col("l_linenumber") * 10 + 5).alias("char_end"), F.element_at(labels, (F.col("l_partkey") % 6 + 1).cast("int")).alias("label"), (F.col("l_quantity") / 64).cast("double").alias("score"))
+    return bio.decode(p)
+
+
+_STEMS = ", ".join(f"('{k}', '{v}')" for k, v in D.BIO_STEMS.items())
+_STEM_ROWS = f"""SELECT f.doc_id, f.start, f."end", CASE WHEN f.entity_type = 'PERSON' AND regexp_matches(substr(d.text, greatest(1, f.start - 79), least(80, f.start)), {S.quoted(D.DOCTOR_WORDS)}) THEN 'DoctorName' ELSE coalesce(v.stem, 'Other') END AS stem
+FROM ({S.NOTES_DETECTIONS}) f JOIN ({S.NOTES_SQL}) d ON d.doc_id = f.doc_id LEFT JOIN (VALUES {_STEMS}) v(entity_type, stem) ON v.entity_type = f.entity_type
+WHERE f.entity_type NOT IN ('MEDICAL_CONDITION', 'DIAGNOSIS', 'MEDICATION', 'PROCEDURE', 'GENDER') AND f.action <> 'KEPT'"""
+_BIO = f"""SELECT t.doc_id, t.word_no AS token_no, t.word AS token, coalesce(l.label, 'O') AS label FROM ({_NOTE_WORDS}) t LEFT JOIN (
+  SELECT doc_id, word_no, arg_max(label, start) AS label FROM (
+    SELECT s.doc_id, w.word_no, s.start, CASE WHEN row_number() OVER (PARTITION BY s.doc_id, s.start ORDER BY w.word_no) = 1 THEN 'B-' ELSE 'I-' END || s.stem AS label
+    FROM ({_STEM_ROWS}) s JOIN ({_NOTE_WORDS}) w ON w.doc_id = s.doc_id AND w.ws < s."end" AND w.ws + w.wl > s.start) GROUP BY doc_id, word_no) l ON l.doc_id = t.doc_id AND l.word_no = t.word_no"""
+
+
+@query(_BIO)
+def bio_label(spark, sf_dir):
+    return bio.label(detected_notes(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, token_no // 15 AS chunk_no, count(*)::BIGINT AS n FROM ({_BIO}) GROUP BY ALL")
+def bio_chunks(spark, sf_dir):
+    return bio.chunk(bio.label(detected_notes(spark, sf_dir)), 15).groupBy("doc_id", "chunk_no").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT label, count(*)::BIGINT AS n FROM ({_BIO}) GROUP BY label")
+def label_histogram(spark, sf_dir):
+    return bio.label_counts(bio.label(detected_notes(spark, sf_dir)))
+
+
+@query(f"SELECT stem, count(*)::BIGINT AS n FROM ({_STEM_ROWS}) GROUP BY stem")
+def doctor_context(spark, sf_dir):
+    return bio.stems(detected_notes(spark, sf_dir)).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ONE = f"SELECT d.doc_id, any_value(length(d.text))::BIGINT AS chars, any_value(len(regexp_extract_all(d.text, '[^ \\t\\n\\r\\f\\v]+')))::BIGINT AS tokens, count(f.doc_id) FILTER (WHERE f.action = 'MASKED')::BIGINT AS entities FROM ({S.NOTES_SQL}) d LEFT JOIN ({S.NOTES_DETECTIONS}) f ON f.doc_id = d.doc_id GROUP BY d.doc_id"
+
+
+@query(f"SELECT doc_id, sum(chars)::BIGINT AS chars, sum(tokens)::BIGINT AS tokens, sum(entities)::BIGINT AS entities FROM ({_ONE}) GROUP BY ROLLUP (doc_id)")
+def corpus_stats(spark, sf_dir):
+    return bio.corpus_stats(detected_notes(spark, sf_dir))
+
+
+@query("SELECT doc_id, CASE WHEN ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT < 3650722201 THEN 'train' ELSE 'eval' END AS part FROM documents")
+def split_assign(spark, sf_dir):
+    return bio.split(documents(spark, sf_dir)).select("doc_id", "part")
+
+
+@query(
+    """WITH p AS (SELECT l.quality::VARCHAR AS t, CASE WHEN d.n_chars > 500 THEN '1' ELSE '0' END AS p FROM labels l JOIN documents d USING (doc_id)),
+c AS (SELECT label, count(*) FILTER (WHERE t = label) AS support, count(*) FILTER (WHERE p = label) AS predicted, count(*) FILTER (WHERE t = label AND p = label) AS tp FROM p, (SELECT DISTINCT unnest([t, p]) AS label FROM p) GROUP BY label),
+e AS (SELECT label, coalesce(tp::DOUBLE / nullif(predicted, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(support, 0), 0) AS recall, support, tp FROM c),
+f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM e),
+u AS (SELECT label, precision, recall, f1, support FROM f
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM f
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM f
+  UNION ALL SELECT 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support), sum(support) FROM f)
+SELECT label, round(precision, 4)::DOUBLE AS precision, round(recall, 4)::DOUBLE AS recall, round(f1, 4)::DOUBLE AS f1, support::BIGINT AS support FROM u"""
+)
+def prf_report(spark, sf_dir):
+    pairs = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return bio.scores(pairs.select(F.col("quality").cast("string").alias("true_label"), F.when(F.col("n_chars") > 500, "1").otherwise("0").alias("pred_label")))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
