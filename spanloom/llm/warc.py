@@ -18,10 +18,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.llm.common import scratch, skew_join
 
@@ -124,37 +126,55 @@ def parse(data: bytes):
 _RAW = "kind string, name string, refers_to string, digest string, origin string, number int, total long, block binary"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives under `path`."""
+def inflated(name: str, data: bytes) -> bytes:
+    """A file's bytes; gzip files may have one member or several."""
+    if not name.endswith(".gz"):
+        return data
+    parts = []
+    while data:
+        z = zlib.decompressobj(31)
+        parts += [z.decompress(data), z.flush()]
+        data = z.unused_data
+    return b"".join(parts)
+
+
+def raw_records(data: bytes):
+    """Each record as (kind, name, refers_to, digest, origin, number, total, block)."""
+    for h, block in parse(data):
+        number, total = h.get("warc-segment-number"), h.get("warc-segment-total-length")
+        origin = h.get("warc-segment-origin-id") or (h["warc-record-id"] if number else None)
+        yield h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h.get("warc-payload-digest"), origin, int(number) if number else None, int(total) if total else None, block
+
+
+def _read(spark: SparkSession, path: str, schema: str, take) -> DataFrame:
+    """What take(record) gives for each record (None: nothing), in one pass over the files and one Python worker a task."""
+    fields = T.StructType.fromDDL(schema)
 
     def run(batches):
-        schema = pa.schema([("kind", pa.string()), ("name", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
-        import zlib
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        own = to_arrow_schema(fields)
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                data = data.as_py() if hasattr(data, "as_py") else data
-                if name.endswith(".gz"):
-                    parts = []
-                    while data:  # one member or several
-                        z = zlib.decompressobj(31)
-                        parts += [z.decompress(data), z.flush()]
-                        data = z.unused_data
-                    data = b"".join(parts)
+            for i in range(batch.num_rows):
+                data = inflated(batch.column("path")[i].as_py(), batch.column("content")[i].as_py())
                 rows, size = [], 0
-                for h, block in parse(data):
-                    number = h.get("warc-segment-number")
-                    origin = h.get("warc-segment-origin-id") or (h["warc-record-id"] if number else None)
-                    total = h.get("warc-segment-total-length")
-                    rows.append((h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h.get("warc-payload-digest"), origin, int(number) if number else None, int(total) if total else None, block))
-                    size += len(block)
-                    if size > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                for r in raw_records(data):
+                    row = take(r)
+                    if row is not None:
+                        rows.append(row)
+                        size += len(r[-1])
+                    if size > 4_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), own.types)], schema=own)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), own.types)], schema=own)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _RAW)
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each record of the archives under `path`."""
+    return _read(spark, path, _RAW, lambda r: r)
 
 
 def assemble(parts: list[tuple[int, int | None, bytes]]) -> list[bytes]:
@@ -202,15 +222,7 @@ def _described(kind: str, name: str, refers_to: str | None, digest: str, block:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A row for each page in the archives, segments put together."""
-    raw = read_records(spark, path)
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    whole_only = "number is null"
-
-    def whole(batches):
-        for batch in batches:
-            rows = [_described(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("kind", "name", "refers_to", "digest", "block")))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def joined(batches):
         for batch in batches:
@@ -222,9 +234,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
+    whole = _read(spark, path, _PAGES, lambda r: _described(*r[:4], r[7]) if r[5] is None else None)
     # a group is one page's segments
-    groups = raw.where("number is not null").groupBy("origin").agg(F.collect_list(F.struct("number", "kind", "total", "digest", "block")).alias("parts"))
-    return raw.where(whole_only).mapInArrow(whole, _PAGES).unionByName(groups.mapInArrow(joined, _PAGES))
+    parts = _read(spark, path, _RAW, lambda r: r if r[5] is not None else None)
+    groups = parts.groupBy("origin").agg(F.collect_list(F.struct("number", "kind", "total", "digest", "block")).alias("parts"))
+    return whole.unionByName(groups.mapInArrow(joined, _PAGES))
 
 
 def archive(pages: DataFrame) -> DataFrame:
