@@ -90,6 +90,29 @@ def hex_key(col: Column) -> Column:
     return F.lower(F.hex(col))
 
 
+def tidy() -> None:
+    """Gives memory that a worker no longer uses back to the system: idle workers are kept for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def lean(run):
+    """A function for mapInArrow that tidies up when its task ends."""
+
+    def own(batches):
+        yield from run(batches)
+        tidy()
+
+    return own
+
+
 def quiet_threads() -> None:
     """The tokenizers library must not start threads of its own in an executor's worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

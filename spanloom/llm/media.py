@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import ids_and_texts, scratch
+from spanloom.llm.common import ids_and_texts, lean, scratch
 
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -157,7 +157,7 @@ def write_media(df: DataFrame, path: str, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
     schema = "doc_id long, media binary"
-    ids_and_texts(df, key, text).mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path)
+    ids_and_texts(df, key, text).mapInArrow(lean(run), schema).write.option("compression", "uncompressed").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -178,7 +178,7 @@ def features(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(run, _FEATURES)
+    return media.mapInArrow(lean(run), _FEATURES)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import heavy_keys, ids_and_texts, skew_join, slices, staged
+from spanloom.llm.common import heavy_keys, ids_and_texts, lean, skew_join, slices, staged
 
 SIZE, PERCENT = 4, 80  #: words of a shingle; intersection and union in percent
 HASHES, TREES, LEAST, DEEPEST, CROWD = 128, 32, 4, 12, 256
@@ -120,7 +120,7 @@ def signed(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     }
                 )
 
-    return ids_and_texts(docs).mapInArrow(run, _SIGNED)
+    return ids_and_texts(docs).mapInArrow(lean(run), _SIGNED)
 
 
 _TREE = "tree int, p1 long, p2 long, p3 long, p4 long, rep long"
@@ -226,7 +226,7 @@ def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("va", "vb"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= LIKELY))
 
-    return _joined(pairs, sigs, "sig").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+    return _joined(pairs, sigs, "sig").select("a", "b", "va", "vb").mapInArrow(lean(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -246,7 +246,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _joined(pairs, sets, "set").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+    return _joined(pairs, sets, "set").select("a", "b", "va", "vb").mapInArrow(lean(run), "a long, b long")
 
 
 #: Shingles of a block of a region; two blocks are compared in one task.
@@ -337,7 +337,7 @@ def rest(members: DataFrame, sets: DataFrame, heavy: list, percent: int = PERCEN
         if name:
             yield batch_of(links())
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame, most: int = 40) -> DataFrame:
@@ -387,7 +387,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for a, b in slices(texts, 1_000_000):
                 yield pa.RecordBatch.from_pydict({"rep": pa.array(keys[a:b], pa.int64()), "set": pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary())})
 
-    sets = staged(own.mapInArrow(full, "rep long, set binary"), "neardup-sets")
+    sets = staged(own.mapInArrow(lean(full), "rep long, set binary"), "neardup-sets")
     crowded, hubs = heavy_keys(members, "region"), heavy_keys(members, "rep")
     comp = weight.select("rep", F.col("rep").alias("comp"))
     here = staged(skew_join(members, weight.withColumn("comp", F.col("rep")), "rep", heavy=hubs), "neardup-here")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ids_and_texts, slices, staged
+from spanloom.llm.common import ids_and_texts, lean, slices, staged
 from spanloom.llm.wordbpe import WordBpe
 
 CAPACITY = 4096
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1_000_000):
                 rows = []
                 for k, ids in zip(keys[a:b], bpe.encode(texts[a:b])):
                     ids += end
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                         rows.append((k, p, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return ids_and_texts(docs).mapInArrow(run, _PIECES)
+    return ids_and_texts(docs).mapInArrow(lean(run), _PIECES)
 
 
 def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

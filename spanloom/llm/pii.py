@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ids_and_texts
+from spanloom.llm.common import ids_and_texts, lean
 
 #: Kinds in their order; the model's own ones come last.
 KINDS = ["email", "ip", "card", "phone", "secret", "account"]
@@ -389,7 +389,7 @@ def find(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return ids_and_texts(docs).mapInArrow(run, _FOUND)
+    return ids_and_texts(docs).mapInArrow(lean(run), _FOUND)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:

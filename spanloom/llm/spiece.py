@@ -20,7 +20,7 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import ids_and_texts, slices
+from spanloom.llm.common import ids_and_texts, lean, slices
 
 SPACE = "▁"
 #: Parts and pairs that a worker remembers.
@@ -185,7 +185,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
                 sha = lambda x: hashlib.sha256(x).hexdigest()
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[a:b], pa.int64()), "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(t.encode()) for t in text]})
 
-    return ids_and_texts(docs).mapInArrow(run, _DIGESTS)
+    return ids_and_texts(docs).mapInArrow(lean(run), _DIGESTS)
 
 
 def encode_column(docs: DataFrame, model: str) -> DataFrame:
@@ -198,4 +198,4 @@ def encode_column(docs: DataFrame, model: str) -> DataFrame:
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[a:b], pa.int64()), "ids": pa.array([array("I", x).tolist() for x in bpe.encode(texts[a:b])], pa.list_(pa.int64()))})
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, ids array<long>")
+    return ids_and_texts(docs).mapInArrow(lean(run), "doc_id long, ids array<long>")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import ids_and_texts, scratch, skew_join, slices
+from spanloom.llm.common import ids_and_texts, lean, scratch, skew_join, slices
 from spanloom.llm.wordbpe import WordBpe
 
 WINDOW, LEAST, MOST, MASK_BITS = 16, 64, 1024, 8
@@ -125,7 +125,7 @@ def _chunked(path: str, end_id: int):
         sent: set[bytes] = set()  # each task sends a chunk once; a bounded memory
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1_000_000):
                 parts = [x + end for x in bpe.encode(texts[a:b])]
                 starts = np.cumsum([0] + [len(x) // 4 for x in parts])
                 ids = np.frombuffer(b"".join(parts), "<u4")
@@ -177,7 +177,7 @@ def _ordered(batches):
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Writes chunks/, recipes/ and manifests/ under `path`."""
     spark = docs.sparkSession
-    rows = ids_and_texts(docs).mapInArrow(_chunked(tokenizer, end_id), _ROWS)
+    rows = ids_and_texts(docs).mapInArrow(lean(_chunked(tokenizer, end_id)), _ROWS)
     rows = rows.repartition("bucket").sortWithinPartitions("kind", "digest").drop("bucket")
     rows.mapInArrow(_once, rows.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/raw")
     raw = spark.read.schema(rows.schema).parquet(f"{path}/raw")

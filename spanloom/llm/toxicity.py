@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ids_and_texts, staged
+from spanloom.llm.common import ids_and_texts, lean, staged, tidy
 
 #: At most so many labelled rows are used for fitting, and so many features kept.
 SAMPLE, VOCABULARY, FOLDS = 8_000, 4_096, 5
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     if not nt or not nc:
         chain.weights = [np.array([-6.0] if not nt else [6.0]) if i == 0 else np.array([0.0] * i + [-6.0 if not nt else 6.0]) for i in range(len(CATEGORIES))]
         return chain
-    counted = rows.mapInArrow(listed, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counted = rows.mapInArrow(lean(listed), "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
     best = counted.withColumn("odds", odds).where((F.col("t") >= 4) & (F.col("odds") > 2)).orderBy(F.desc(F.col("odds") * F.col("t")), "feature").limit(VOCABULARY)
     chain.vocabulary = {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32())), pa.array(insult, pa.int32()), batch.column("toxic")], names=["doc_id", "places", "insult", "toxic"])
 
     # at most `sample` rows of places in a bounded vocabulary
-    got = rows.mapInArrow(sparse, "doc_id long, places array<int>, insult int, toxic int").orderBy("doc_id").collect()
+    got = rows.mapInArrow(lean(sparse), "doc_id long, places array<int>, insult int, toxic int").orderBy("doc_id").collect()
     toxic = np.array([r["toxic"] > 0 for r in got], int)
     insult = np.array([r["insult"] for r in got], int)
     folds = (np.array([r["doc_id"] for r in got], np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
@@ -180,7 +180,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
             toxic = p[:, -1] >= threshold
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, i]) for i in range(3)), pa.array(toxic), pa.array(~toxic)], names=["doc_id", "p_insult", "p_coded", "p_toxic", "toxic", "kept"])
 
-    return ids_and_texts(docs).mapInArrow(run, _SCORES)
+    return ids_and_texts(docs).mapInArrow(lean(run), _SCORES)
 
 
 def keep_documents(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
@@ -188,6 +188,8 @@ def keep_documents(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD)
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series(chain.predict(texts.fillna("").tolist())[:, -1] < threshold if len(texts) else [], dtype=bool)
+        out = pd.Series(chain.predict(texts.fillna("").tolist())[:, -1] < threshold if len(texts) else [], dtype=bool)
+        tidy()
+        return out
 
     return docs.where(clean(F.col("text").cast("string")))

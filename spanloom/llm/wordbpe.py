@@ -35,7 +35,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a constant and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 20)
         both = []
         for base in (_P, pow(_P, -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
