@@ -81,6 +81,25 @@ def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hea
     return spread.join(copies, [key, "__salt"], how).drop("__salt")
 
 
+#: Bits of the filter that stands before joins of whole texts with lists of ids: 4 MB at most as rows, whatever the list.
+FILTER_BITS = 1 << 23
+
+
+def with_possible(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Adds __possible: false only if the key isn't in `ids` (one column). Texts whose key can't match then needn't be shuffled to find that out.
+
+    The filter is a bitmap of FILTER_BITS bits in at most FILTER_BITS / 32 rows, so broadcasting it is bounded. With very many ids it lets more
+    rows through; the join behind it decides.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS))
+    h = place(F.col(ids.columns[0]))
+    bits = ids.select(F.floor(h / 32).cast("int").alias("__word"), F.expr("1L").alias("__one"), (h % 32).cast("int").alias("__bit"))
+    words = bits.groupBy("__word").agg(F.expr("bit_or(shiftleft(__one, __bit))").alias("__bits"))
+    own = df.withColumn("__h", place(F.col(key))).withColumn("__word", F.floor(F.col("__h") / 32).cast("int"))
+    out = own.join(F.broadcast(words), "__word", "left")
+    return out.withColumn("__possible", F.coalesce(F.expr("shiftright(__bits, cast(__h % 32 as int)) & 1L = 1L"), F.lit(False))).drop("__h", "__word", "__bits")
+
+
 def ids_and_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Just the key as long and the text, null as empty: extra columns, whatever their names, can't clash."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import heavy_keys, ids_and_texts, lean, skew_join, slices, staged
+from spanloom.llm.common import heavy_keys, ids_and_texts, lean, skew_join, slices, staged, with_possible
 
 SIZE, PERCENT = 4, 80  #: words of a shingle; intersection and union in percent
 HASHES, TREES, LEAST, DEEPEST, CROWD = 128, 32, 4, 12, 256
@@ -379,7 +379,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     weight = skew_join(members, members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region").groupBy("rep").agg(F.sum("m").alias("weight"))
     weight = staged(weight.join(reps.select("rep", "n"), "rep"), "neardup-weights")
     # only sets that share a region need their full hashes again
-    own = ids_and_texts(docs).join(weight.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    wanted = weight.select(F.col("rep").alias("doc_id"))
+    own = with_possible(ids_and_texts(docs), "doc_id", wanted).where("__possible").drop("__possible").join(wanted, "doc_id", "left_semi")
 
     def full(batches):
         for batch in batches:
@@ -428,10 +429,12 @@ def _with_repeats(docs: DataFrame, marked: DataFrame, percent: int) -> DataFrame
 
 
 def keep_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with all its columns; documents with a null doc_id stay."""
-    docs = staged(docs, "neardup-documents")
+    """One document of each group, with all its columns; documents with a null doc_id stay. docs is read several times: a written table is best."""
     marked = staged(near_duplicates(docs, percent), "neardup-result")
-    out = docs.join(marked.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    gone = marked.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    split = with_possible(docs, "doc_id", gone)
+    decided = split.where("__possible").join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    out = split.where("not __possible").unionByName(decided).select(*docs.columns)
     if marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         repeated = out.where("doc_id is not null").dropDuplicates(["doc_id"])
         out = repeated.unionByName(out.where("doc_id is null"))
