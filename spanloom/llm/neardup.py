@@ -300,9 +300,12 @@ def rest(members: DataFrame, sets: DataFrame, heavy: list, percent: int = PERCEN
     """Links between different components that a region still holds.
 
     A region's sets are compared within tasks, on the full sets, without making rows of pairs; only the links that
-    join something come out. A region with over BLOCK shingles is dealt out as pairs of blocks. members: region, rep, n, comp.
+    join something come out. A region with over BLOCK shingles is dealt out as pairs of blocks. A group of copies makes a region of the
+    same sets in many trees: of regions with equal members (told by count, shingles and 128 bits of hashes) one is compared. members: region, rep, n, comp.
     """
-    mixed = members.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("n")).where("lo <> hi")
+    of_all = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    mixed = members.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), *of_all).where("lo <> hi")
+    mixed = mixed.groupBy("m", "n", "h1", "h2").agg(F.min("region").alias("region"))
     mixed = mixed.select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = skew_join(members.select("region", "rep", "comp"), mixed, "region", heavy=heavy)
     rows = staged(rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "neardup-mixed")
