@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from spanloom.llm.common import heavy_keys, ids_and_texts, lean, skew_join, slices, staged, with_possible
 
-SIZE, PERCENT = 4, 80  #: words of a shingle; intersection and union in percent
+SIZE, PERCENT = 5, 80  #: words of a shingle; intersection and union in percent
 HASHES, TREES, LEAST, DEEPEST, CROWD = 128, 32, 4, 12, 256
 LIKELY = 0.8 - 5 * (0.8 * 0.2 / HASHES) ** 0.5
 _R = np.random.RandomState(20240501)
@@ -367,16 +367,16 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document."""
-    marked = staged(signed(docs), "neardup-signed")
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document, by shingles of `size` words."""
+    marked = staged(signed(docs, size), "neardup-signed")
     known = marked.where("doc_id is not null and key is not null")
     reps = staged(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")), "neardup-reps")
     # a document with several rows can be the smallest of several sets: those are one node
     nodes = reps.groupBy("rep").agg(F.first("sig").alias("sig"), F.count(F.lit(1)).alias("keys"))
     several = nodes.where("keys > 1").limit(1).count() > 0 or known.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").limit(1).count() > 0
     if several:
-        return _with_repeats(docs, marked, percent)
+        return _with_repeats(docs, percent, size)
     sigs = reps.select("rep", "sig")
     members = staged(forest(sigs), "neardup-members")
     weight = skew_join(members, members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region").groupBy("rep").agg(F.sum("m").alias("weight"))
@@ -389,7 +389,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in slices(texts, 1_000_000):
-                yield pa.RecordBatch.from_pydict({"rep": pa.array(keys[a:b], pa.int64()), "set": pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"rep": pa.array(keys[a:b], pa.int64()), "set": pa.array([s.tobytes() for s in shingle_sets(texts[a:b], size)], pa.binary())})
 
     sets = staged(own.mapInArrow(lean(full), "rep long, set binary"), "neardup-sets")
     crowded, hubs = heavy_keys(members, "region"), heavy_keys(members, "rep")
@@ -416,10 +416,10 @@ def _result(marked: DataFrame, named: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def _with_repeats(docs: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+def _with_repeats(docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Where rows of one doc_id have different texts: rows are nodes first, then joined by their doc_id."""
     rows = staged(ids_and_texts(docs).withColumn("__row", F.monotonically_increasing_id()), "neardup-rows")
-    parts = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), percent)
+    parts = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), percent, size)
     found = staged(parts.withColumnRenamed("doc_id", "__row").join(rows.select("__row", "doc_id"), "__row"), "neardup-parts")
     # documents and the groups of rows that they are in, as one graph: groups have ids above all documents
     base = found.agg(F.max(F.abs("doc_id"))).first()[0]
@@ -431,9 +431,9 @@ def _with_repeats(docs: DataFrame, marked: DataFrame, percent: int) -> DataFrame
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def keep_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """One document of each group, with all its columns; documents with a null doc_id stay. docs is read several times: a written table is best."""
-    marked = staged(near_duplicates(docs, percent), "neardup-result")
+    marked = staged(near_duplicates(docs, percent, size), "neardup-result")
     gone = marked.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
     split = with_possible(docs, "doc_id", gone)
     decided = split.where("__possible").join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")

@@ -9,6 +9,9 @@ from spanloom.llm.common import table
 
 END_OF_TEXT_STORE, END_OF_TEXT_PACK = 2, 1
 
+#: Words of a shingle in op10_neardup's contract; the operator itself and the pipeline take neardup.SIZE.
+SHINGLE_WORDS = 4
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -57,7 +60,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=SHINGLE_WORDS)
 
 
 def queries() -> dict:

@@ -207,7 +207,8 @@ def test_license_places_by_brute_force(spark):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(hits), hits[0][0] if hits else None, hits[-1][0] if hits else None, ",".join(sorted({x for _, x in hits})))
 
 
-def test_near_duplicates_by_brute_force(spark):
+@pytest.mark.parametrize("size", [4, neardup.SIZE])
+def test_near_duplicates_by_brute_force(spark, size):
     R = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, base = [], [R.choices(vocabulary, k=60) for _ in range(20)]
@@ -217,14 +218,14 @@ def test_near_duplicates_by_brute_force(spark):
             w[R.randrange(60)] = R.choice(vocabulary)
         rows.append((i, " ".join(w)))
     rows += [(240, "a b"), (241, "A  b"), (242, ""), (243, None), (244, None)]
-    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else ({tuple(w)} if w else set()) for i, w in ((i, (t or "").lower().split()) for i, t in rows)}
+    sets = {i: {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()) for i, w in ((i, (t or "").lower().split()) for i, t in rows)}
     comp = {i: i for i in sets}
     for _ in range(10):
         for a in sets:
             for b in sets:
                 if sets[a] and a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     comp[a] = comp[b] = min(comp[a], comp[b])
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=size).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
