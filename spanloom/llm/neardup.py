@@ -4,12 +4,12 @@
    together at once (summed on the map side) and only one of each set goes on.
 2. The forest: tree t orders the sets by the signature rotated to its t-th part. Each order is dealt by range, so no group lands in one
    task, and read in order; neighbours whose longest common prefix has LEAST components or more share a region. Regions of over CROWD
-   sets go deeper, component by component, until they are smaller or DEEPEST is reached.
-3. Each region tests one pivot (the set that meets most others in all trees, so that a hub's links are found first) against its
-   other sets: at most one pair for a row. Pairs whose signatures agree far too little (five standard deviations below the
+   sets are also split into parts by up to four further components. Parts only find links sooner: what must be compared is the region.
+3. Each region and each part tests one pivot (the set that meets most others in all trees, so that a hub's links are found first)
+   against its other sets: at most two pairs for a row. Pairs whose signatures agree far too little (five standard deviations below the
    threshold) are dropped, the others are confirmed on their full sets.
-4. Regions that still hold sets of different components compare them on their full sets within tasks, in blocks of bounded size; only
-   links that join something come out, so no pairs of a group are made into rows.
+4. Undivided regions that still hold sets of different components compare them on their full sets within tasks, in blocks of bounded
+   size; only links that join something come out, so no pairs of a group are made into rows.
 5. Components of the links come from alternating star contractions, cut by written tables.
 
 Two sets at the threshold share no region with probability below 1e-7. Null and empty texts have no set and are linked with nothing. Rows with a null doc_id
@@ -179,7 +179,7 @@ def _regions(batches):
 
 
 def forest(reps: DataFrame) -> DataFrame:
-    """(region, rep) of all regions with two sets or more. reps: rep and sig."""
+    """(region, part, rep) of all regions with two sets or more; part is the region itself where it isn't crowded. reps: rep and sig."""
     order = ["tree", "p1", "p2", "p3", "p4", "rep"]
     rows = reps.mapInArrow(_rows_of_trees, _TREE)
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
@@ -189,12 +189,13 @@ def forest(reps: DataFrame) -> DataFrame:
     closed = marked.where("kind = 'region'")
     joined = marked.where("kind = 'open'").join(whole, "region").select(closed.columns)
     both = closed.unionByName(joined)
-    # adaptive depth: crowded regions are told apart by further components
-    for depth, part in ((6, "p3"), (8, "p4")):
-        crowded = both.groupBy("region").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CROWD)
+    both = both.withColumn("part", F.col("region"))
+    # adaptive depth: parts of crowded regions are told apart by further components
+    for depth, more in ((6, "p3"), (8, "p4")):
+        crowded = both.groupBy("part").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CROWD)
         # fewer than rows / CROWD names; joined with a shuffle if they are many
-        both = both.join(crowded, "region", "left").withColumn("region", F.when(F.col("__n").isNull(), F.col("region")).otherwise(F.xxhash64("region", part))).drop("__n")
-    return both.select("region", "rep")
+        both = both.join(crowded, "part", "left").withColumn("part", F.when(F.col("__n").isNull(), F.col("part")).otherwise(F.xxhash64("part", more))).drop("__n")
+    return both.select("region", "part", "rep")
 
 
 def _pairs_from(a: str, b: str):
@@ -251,6 +252,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 #: Shingles of a block of a region; two blocks are compared in one task.
 BLOCK = 400_000
+#: Sets of a block at most.
+BLOCK_SETS = 2_000
 
 
 def local_links(comps: list[int], sets: list[np.ndarray], left: int, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -278,15 +281,16 @@ def local_links(comps: list[int], sets: list[np.ndarray], left: int, percent: in
         row, column = row[shared], number[column[shared]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        both = np.zeros((m, m), np.float64)
+        top = left or m  # only rows that are asked for
+        both = np.zeros((top, m), np.float64)
         width = 2048
         for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             lo, hi = np.searchsorted(column, (at, at + width))
             some = np.zeros((m, width), np.float32)
             some[row[lo:hi], column[lo:hi] - at] = 1
-            both += some @ some.T  # whole numbers below 2**24: exact
+            both += some[:top] @ some.T  # whole numbers below 2**24: exact
         both = both.astype(np.int64)
-    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    linked = 100 * both >= percent * (size[: len(both), None] + size[None, :] - both)
     out = []
     for i in range(min(left, m) if left else m):
         for j in (np.flatnonzero(linked[i, max(i + 1, left) :]) + max(i + 1, left)).tolist():
@@ -300,17 +304,33 @@ def rest(members: DataFrame, sets: DataFrame, heavy: list, percent: int = PERCEN
     """Links between different components that a region still holds.
 
     A region's sets are compared within tasks, on the full sets, without making rows of pairs; only the links that
-    join something come out. A region with over BLOCK shingles is dealt out as pairs of blocks. A group of copies makes a region of the
+    join something come out. A region with over BLOCK shingles or BLOCK_SETS sets is dealt out as pairs of blocks; its largest component
+    has blocks of its own, which needn't be compared with each other, since their sets are joined already. A group of copies makes a region of the
     same sets in many trees: of regions with equal members (told by count, shingles and 128 bits of hashes) one is compared. members: region, rep, n, comp.
     """
     of_all = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
-    mixed = members.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), *of_all).where("lo <> hi")
-    mixed = mixed.groupBy("m", "n", "h1", "h2").agg(F.min("region").alias("region"))
-    mixed = mixed.select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    by_comp = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), *of_all)
+    mixed = by_comp.groupBy("region").agg(F.count(F.lit(1)).alias("comps"), F.sum("m").alias("m"), F.sum("n").alias("n"), *[F.bit_xor(h).alias(h) for h in ("h1", "h2")], F.max(F.struct("n", "m", "comp")).alias("top")).where("comps > 1")
+    mixed = mixed.groupBy("m", "n", "h1", "h2").agg(F.min(F.struct("region", "top")).alias("one")).select("one.region", "one.top", "m", "n")
+
+    def blocks(m, n):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(m / BLOCK_SETS)).cast("int")
+
+    # blocks of the other components come first, those of the largest after them; a region that fits into one block is one
+    small = blocks(F.col("m"), F.col("n")) <= 1
+    mixed = mixed.select(
+        "region",
+        F.when(small, F.lit(None)).otherwise(F.col("top.comp")).alias("main"),
+        F.when(small, F.lit(1)).otherwise(blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n"))).alias("others"),
+        F.when(small, F.lit(0)).otherwise(blocks(F.col("top.m"), F.col("top.n"))).alias("mains"),
+    )
     rows = skew_join(members.select("region", "rep", "comp"), mixed, "region", heavy=heavy)
-    rows = staged(rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "neardup-mixed")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = skew_join(rows, sets, "rep").withColumn("other", other)
+    is_main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    place = F.xxhash64("rep")
+    own = F.when(is_main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int")
+    met = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains"))  # blocks that a set is compared with
+    rows = staged(rows.select("region", "rep", "comp", own.alias("own"), met.alias("met")), "neardup-mixed")
+    rows = skew_join(rows, sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("met") - 1)))
     rows = rows.select("region", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "comp", "set")
     rows = rows.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "own", "rep")
 
@@ -393,9 +413,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -
 
     sets = staged(own.mapInArrow(lean(full), "rep long, set binary"), "neardup-sets")
     crowded, hubs = heavy_keys(members, "region"), heavy_keys(members, "rep")
-    comp = weight.select("rep", F.col("rep").alias("comp"))
     here = staged(skew_join(members, weight.withColumn("comp", F.col("rep")), "rep", heavy=hubs), "neardup-here")
-    pairs = staged(likely(staged(pivots(here, crowded), "neardup-candidates"), sigs), "neardup-pairs")
+    # pivots of the parts, and of the undivided regions that have parts
+    parts = pivots(here.drop("region").withColumnRenamed("part", "region"), heavy_keys(members, "part"))
+    split = members.where("part <> region").select("region").distinct()
+    wholes = pivots(here.drop("part").join(split, "region", "left_semi"), crowded)
+    pairs = staged(likely(staged(parts.unionByName(wholes).distinct(), "neardup-candidates"), sigs), "neardup-pairs")
     links = staged(confirmed(pairs, sets, percent), "neardup-links")
     comp = _settled(weight, links)
     here = staged(skew_join(members, weight.join(comp, "rep"), "rep", heavy=hubs), "neardup-here")

@@ -229,6 +229,29 @@ def test_near_duplicates_by_brute_force(spark, size):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+def edited(words, places, mark):
+    return [f"{mark}x{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_links_of_a_hub_with_thousands_of_copies(spark, monkeypatch):
+    """Each copy is at the threshold to its base and far below it to the others: its only link is the one to the base. Some have a copy of their own."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 300)  # regions are dealt out as blocks
+    R = random.Random(11)
+    base = [f"w{i}" for i in range(184)]  # 180 shingles of five words: four replaced words leave 160 of 200
+    rows = [(0, " ".join(base))]
+    for k in range(1, 2501):
+        places = [R.randrange(a, a + 35) for a in (5, 50, 95, 140)]
+        copy = edited(base, places, f"c{k}")
+        rows.append((k, " ".join(copy)))
+        if k % 10 == 0:
+            own = [(p + 20 if p + 20 < 180 else p - 20) for p in places]
+            rows.append((10_000 + k, " ".join(edited(copy, own, f"d{k}"))))
+    rows.append((20_000, " ".join(f"v{i}" for i in range(184))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = collections.Counter(r["component_id"] for r in neardup.near_duplicates(df).collect())
+    assert got == {0: len(rows) - 1, 20_000: 1}
+
+
 def test_repeated_ids_are_one_document(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, "other words stand in this one")], "doc_id long, text string")
