@@ -1,7 +1,8 @@
 """License scans by diagonal voting.
 
 Every rolling k-gram of every document's words is hashed and joined with the positions of the templates' k-grams. A hit votes for the
-offset diagonal (document position minus template position) that it lies on; votes are summed by diagonal, neighbouring
+offset diagonal (document position minus template position) that it lies on; the template positions met are collected by diagonal
+as bits of a long (a template has fewer than 64), neighbouring
 diagonals of a template are merged (words put in or left out), and a merged span is verified: the words of
 each hit are compared, the words covered must make up enough of the template, and the span must not be much longer than it.
 
@@ -75,18 +76,19 @@ _RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 
 
 def resolve(votes: list[dict], texts: list[tuple[list[str], str, bool]]) -> tuple:
-    """From a document's votes (template, diagonal, votes, lo, hi: first and last template position met) to its labels."""
+    """From a document's votes (template, diagonal, places: a bit for each template position met) to its labels."""
     places, base, found, score, spans = [], set(), set(), 0.0, []
     by: dict[int, list[dict]] = {}
     for v in votes:
         if v["template"] >= 0:
-            by.setdefault(v["template"], []).append(v)
+            met = [p for p in range(v["places"].bit_length()) if v["places"] >> p & 1]
+            by.setdefault(v["template"], []).append({"diagonal": v["diagonal"], "met": met})
     for i in sorted(by):
         words, label, is_base = texts[i]
-        lines = sorted(by[i], key=lambda v: (v["diagonal"], v["lo"]))
+        lines = sorted(by[i], key=lambda v: v["diagonal"])
         if is_base:
             for v in lines:
-                if v["votes"] == len(words) - K + 1:
+                if len(v["met"]) == len(words) - K + 1:
                     places.append(v["diagonal"])
                     base.add(label)
                     spans.append((v["diagonal"], v["diagonal"] + len(words), label))
@@ -100,12 +102,10 @@ def resolve(votes: list[dict], texts: list[tuple[list[str], str, bool]]) -> tupl
         for group in merged:
             covered: set[int] = set()
             for v in group:
-                covered.update(range(v["lo"], v["hi"] + K) if v["votes"] == v["hi"] - v["lo"] + 1 else [])
-                if v["votes"] != v["hi"] - v["lo"] + 1:  # gaps: at least the words of its own hits
-                    covered.update(range(v["lo"], v["lo"] + K))
-                    covered.update(range(v["hi"], v["hi"] + K))
+                for p in v["met"]:  # the words of each hit; a replaced word is a gap between hits
+                    covered.update(range(p, p + K))
             share = len(covered) / len(words)
-            start, end = min(v["diagonal"] + v["lo"] for v in group), max(v["diagonal"] + v["hi"] + K for v in group)
+            start, end = min(v["diagonal"] + v["met"][0] for v in group), max(v["diagonal"] + v["met"][-1] + K for v in group)
             score = max(score, min(share, 1.0))
             if share >= COVERED and end - start <= STRETCH * len(words):
                 found.add(label)
@@ -118,8 +118,8 @@ def resolve(votes: list[dict], texts: list[tuple[list[str], str, bool]]) -> tupl
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of each document."""
     diagonal = (F.col("pos") - F.col("place")).cast("long")
-    votes = hits(docs).groupBy("row", "doc_id", "n_words", "template", diagonal.alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("place").alias("lo"), F.max("place").alias("hi"))
-    each = votes.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list(F.struct("template", "diagonal", "votes", "lo", "hi")).alias("votes"))
+    votes = hits(docs).groupBy("row", "doc_id", "n_words", "template", diagonal.alias("diagonal")).agg(F.expr("bit_or(shiftleft(1L, place))").alias("places"))
+    each = votes.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list(F.struct("template", "diagonal", "places")).alias("votes"))
 
     def run(batches):
         texts = templates()

@@ -207,6 +207,23 @@ def test_license_places_by_brute_force(spark):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(hits), hits[0][0] if hits else None, hits[-1][0] if hits else None, ",".join(sorted({x for _, x in hits})))
 
 
+def test_templates_with_one_word_replaced(spark):
+    want = []
+    for words, label, _ in licenses.templates():
+        for at in range(len(words)):
+            hits = [p for p in range(len(words) - licenses.K + 1) if not p <= at < p + licenses.K]
+            covered = {q for p in hits for q in range(p, p + licenses.K)}
+            text = [*words[:at], "zzz", *words[at + 1 :]]
+            if len(covered) / len(words) >= licenses.COVERED:
+                want.append((" ".join(["aaa", "bbb", *text, "ccc"]), label, 2 + min(covered), 3 + max(covered), len(covered) / len(words)))
+    df = spark.createDataFrame([(i, w[0]) for i, w in enumerate(want)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    for i, (text, label, start, end, share) in enumerate(want):
+        assert label in got[i]["labels"].split(","), text
+        assert f"{label}:{start}:{end}" in got[i]["spans"].split(","), text
+        assert got[i]["score"] >= round(share, 6), text
+
+
 @pytest.mark.parametrize("size", [4, neardup.SIZE])
 def test_near_duplicates_by_brute_force(spark, size):
     R = random.Random(4)
