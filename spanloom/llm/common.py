@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Tables staged within settled(), innermost last.
+_PASSING: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share: the one the session names in spark.checkpoint.dir.
 
-    Only where the session names none (tests, a single machine) a folder of our own is made and set.
+    Only where the session names none and runs on one machine (tests), a folder of our own is made; it goes when Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spanloom-")
+            atexit.register(shutil.rmtree, folder, True)
+            _OWN[app] = f"file://{folder}"
             spark.sparkContext.setCheckpointDir(_OWN[app])
         base = _OWN[app]
     return f"{base.rstrip('/')}/spanloom/{label}-{uuid.uuid4().hex}"
@@ -35,10 +44,33 @@ def scratch(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str, **options) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it again."""
     path = scratch(df.sparkSession, label)
+    if _PASSING:
+        _PASSING[-1].append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() returns as a written table; every table that it staged on the way is deleted then."""
+    _PASSING.append([])
+    try:
+        out = build()
+        path = scratch(spark, label)
+        out.write.parquet(path)
+    finally:
+        for old in _PASSING.pop():
+            removed(spark, old)
+    if _PASSING:
+        _PASSING[-1].append(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def slices(texts: list, most: int = 2_000_000):
     """(start, end) of runs of texts of about `most` characters, so that temporary arrays stay small. A longer text is a run of its own."""
     start = size = 0
@@ -52,32 +84,47 @@ def slices(texts: list, most: int = 2_000_000):
         yield start, len(texts)
 
 
-#: A key is heavy with over so many rows; the HEAVY_KEYS most frequent ones are dealt out, so their list is bounded whatever the input.
-HEAVY_ROWS, HEAVY_KEYS, SALTS = 1_000, 1_000, 32
+#: Rows are counted by SLOTS hash slots of their key. A slot is heavy with over HEAVY_ROWS rows; the HEAVY_SLOTS fullest come to the driver, so
+#: their list is bounded whatever the input, and a key outside it has less than 1 / HEAVY_SLOTS of all rows.
+SLOTS, HEAVY_SLOTS, HEAVY_ROWS = 1 << 17, 1 << 14, 500
+#: Null keys match nothing; they are dealt out so widely.
+_NULL_SALTS = 1 << 10
 
 
-def heavy_keys(df: DataFrame, key: str) -> list:
-    """The most frequent keys over HEAVY_ROWS, by a count that is combined on the map side. At most HEAVY_KEYS values come to the driver."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HEAVY_ROWS)
-    return [r[key] for r in counts.orderBy(F.desc("__n"), key).limit(HEAVY_KEYS).select(key).collect()]
+def _slot(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(SLOTS)).cast("int")
 
 
-def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", heavy: list | None = None, salts: int = SALTS) -> DataFrame:
-    """Joins `many` with `one` (unique by `key`), dealing the rows of heavy keys over `salts` tasks.
+def heavy_keys(df: DataFrame, key: str) -> list[tuple[int, int]]:
+    """(slot, salts) of the heavy slots, by a count that is combined on the map side. Salts grow with a slot's rows, so that each
+    salt's share is about that of the lightest slot in the list."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(_slot(key).alias("__slot")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HEAVY_ROWS)
+    rows = counts.orderBy(F.desc("__n"), "__slot").limit(HEAVY_SLOTS).collect()
+    share = HEAVY_ROWS if len(rows) < HEAVY_SLOTS else rows[-1]["__n"]
+    return [(r["__slot"], -(-r["__n"] // share)) for r in rows]
 
-    heavy: what heavy_keys() found, where `many` is costly to compute twice. Null keys of `many` match nothing. A row's
-    salt depends on its own values only, so a task that is run again deals its rows as before.
+
+def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", heavy: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Joins `many` with `one` (unique by `key`), dealing the rows of heavy keys over several tasks.
+
+    heavy: what heavy_keys() found, where `many` is costly to compute twice. Null keys of `many` match nothing (a left join keeps
+    their rows). A row's salt depends on its own values and the input partition that it stands in, so equal rows are dealt out too, and a
+    task that is run again deals its rows as before.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
     heavy = heavy_keys(many, key) if heavy is None else heavy
+    own = F.xxhash64(*[c for c in many.columns if c != key], F.spark_partition_id())
+    if not heavy and how == "inner":
+        return many.join(one, key)
+    named = many.sparkSession.createDataFrame(heavy, "__slot int, __salts int")
     if not heavy:
-        return many.join(one, key, how)
-    named = many.sparkSession.createDataFrame([(k,) for k in heavy], many.select(F.col(key).alias("__heavy")).schema)
-    own = F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), F.lit(salts)).cast("int")
-    spread = many.join(F.broadcast(named), F.col(key) == F.col("__heavy"), "left").withColumn("__salt", F.when(F.col("__heavy").isNull(), F.lit(0)).otherwise(own)).drop("__heavy")
-    every = F.when(F.col("__heavy").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
-    copies = one.join(F.broadcast(named), F.col(key) == F.col("__heavy"), "left").withColumn("__salt", F.explode(every)).drop("__heavy")
+        named = named.limit(0)
+    spread = many.withColumn("__slot", _slot(key)).join(F.broadcast(named), "__slot", "left")
+    salts = F.when(F.col(key).isNull(), F.lit(_NULL_SALTS)).otherwise(F.coalesce("__salts", F.lit(1)))
+    spread = spread.withColumn("__salt", F.pmod(own, salts).cast("int")).drop("__slot", "__salts")
+    copies = one.where(F.col(key).isNotNull()).withColumn("__slot", _slot(key)).join(F.broadcast(named), "__slot", "left")
+    copies = copies.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__slot", "__salts")
     return spread.join(copies, [key, "__salt"], how).drop("__salt")
 
 
@@ -91,8 +138,8 @@ def with_possible(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     The filter is a bitmap of FILTER_BITS bits in at most FILTER_BITS / 32 rows, so broadcasting it is bounded. With very many ids it lets more
     rows through; the join behind it decides.
     """
-    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS))
-    h = place(F.col(ids.columns[0]))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    h = place(F.col(ids.columns[0]).cast(df.schema[key].dataType))
     bits = ids.select(F.floor(h / 32).cast("int").alias("__word"), F.expr("1L").alias("__one"), (h % 32).cast("int").alias("__bit"))
     words = bits.groupBy("__word").agg(F.expr("bit_or(shiftleft(__one, __bit))").alias("__bits"))
     own = df.withColumn("__h", place(F.col(key))).withColumn("__word", F.floor(F.col("__h") / 32).cast("int"))
@@ -105,10 +152,6 @@ def ids_and_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def hex_key(col: Column) -> Column:
-    return F.lower(F.hex(col))
-
-
 def tidy() -> None:
     """Gives memory that a worker no longer uses back to the system: idle workers are kept for later tasks."""
     import ctypes
