@@ -1,16 +1,20 @@
 """WARC archives: a writer that cuts long records into segments, and a reader that puts them together again.
 
 Write: each page is a response record, or a revisit record if a page with an equal payload and a larger page_id has the
-response. Blocks over SEGMENT bytes are cut into a first record and continuation records. Payloads go out in
+response. What revisits what is found from digests alone; a revisit is written without its html, and html is only shuffled where its digest
+may have a second page (a bitmap tells). Blocks over SEGMENT bytes are cut into a first record and continuation records. Payloads go out in
 chunked transfer framing. Spark's text writer, with the blank line that ends each record as its line separator, writes
 the files to any file system.
 
 Read: files come as bytes, records are cut by Content-Length; segmented ones are grouped by origin identifier, ordered by
 segment number, tested for gaps and against WARC-Segment-Total-Length; then the transfer framing is undone and
-the payload's digest tested.
+the payload's digest tested. Files are read once: what a whole record says goes out at once, segments wait for their group.
+
+A record's identifier holds its page_id and digest, and where rows repeat (equal page_id and payload, or null page_ids) also the task and
+row that wrote it, so one origin's segments are one page's, whatever the table holds.
 
 Null html counts as an empty payload. Rows with a null page_id are always responses. Repeated page_ids with an
-equal payload are both responses if they have the largest id. An empty table gives no records.
+equal payload are all responses if they have the largest id; with different payloads each stands for itself. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -21,11 +25,12 @@ import re
 import zlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import scratch, skew_join
+from spanloom.llm.common import scratch, skew_join, staged, with_possible
 
 SEGMENT = 32_768
 #: Records of a file, so that no file is too large for one task.
@@ -64,45 +69,74 @@ def record(kind: str, identifier: str, target: str, block: bytes, **more) -> byt
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def page_records(page_id, url, payload: bytes, refers_to, digest: str, segment: int = SEGMENT) -> list[bytes]:
-    """One record, or a first one and its continuations."""
-    name = f"urn:page:{'null' if page_id is None else page_id}"
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or name)
-    sha = f"sha1:{digest}"
-    if refers_to is not None:
-        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        return [record("revisit", f"<{name}>", target, http, Content_Type="application/http;msgtype=response", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<urn:page:{refers_to}>", WARC_Payload_Digest=sha)]
+def identifier(page_id, digest: str, more: str = "") -> str:
+    return f"urn:page:{'null' if page_id is None else page_id}:{digest}{more}"
+
+
+def page_records(page_id, url, payload: bytes, digest: str, more: str = "", segment: int = SEGMENT) -> list[bytes]:
+    """A response: one record, or a first one and its continuations."""
+    name = identifier(page_id, digest, more)
+    target, sha = _target(url, name), f"sha1:{digest}"
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     if len(parts) == 1:
         return [record("response", f"<{name}>", target, block, Content_Type="application/http;msgtype=response", WARC_Payload_Digest=sha)]
-    # repeated rows must not share an origin: the name of a segmented record also has its digest
-    origin = f"<{name}>"
-    out = [record("response", origin, target, parts[0], Content_Type="application/http;msgtype=response", WARC_Payload_Digest=sha, WARC_Segment_Number=1)]
+    out = [record("response", f"<{name}>", target, parts[0], Content_Type="application/http;msgtype=response", WARC_Payload_Digest=sha, WARC_Segment_Number=1)]
     for i, part in enumerate(parts[1:], 2):
-        out.append(record("continuation", f"<{name}:segment:{i}>", target, part, WARC_Segment_Origin_ID=origin, WARC_Segment_Number=i, WARC_Segment_Total_Length=len(block) if i == len(parts) else None))
+        out.append(record("continuation", f"<{name}:segment:{i}>", target, part, WARC_Segment_Origin_ID=f"<{name}>", WARC_Segment_Number=i, WARC_Segment_Total_Length=len(block) if i == len(parts) else None))
     return out
 
 
+def revisit_record(page_id, url, size: int, refers_to: int, digest: str) -> bytes:
+    """A page whose payload another page's record holds."""
+    name = identifier(page_id, digest)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {size}\r\n\r\n".encode()
+    return record("revisit", f"<{name}>", _target(url, name), http, Content_Type="application/http;msgtype=response", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<{identifier(refers_to, digest)}>", WARC_Payload_Digest=f"sha1:{digest}")
+
+
+def _target(url, name: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or name)
+
+
+def _base32(sha: str) -> str:
+    return base64.b32encode(bytes.fromhex(sha)).decode()
+
+
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, compression: str = "gzip") -> None:
     """Writes the archives of a (page_id, url, html) table under `path`."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    groups = own.groupBy("sha").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    planned = skew_join(own, groups, "sha", "left")
+    # digests that several rows share: who holds the response, and in how many rows
+    by_page = own.groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = by_page.groupBy("sha").agg(F.max("page_id").alias("holder"), F.max_by("n", "page_id").alias("copies"), F.sum("n").alias("n")).where("n > 1").select("sha", "holder", "copies")
+    groups = staged(groups, "warc-groups")
+    keys = own.select("page_id", "url", F.octet_length("html").alias("size"), "sha")
+    again = skew_join(keys, groups, "sha").where(F.col("page_id").isNotNull() & (F.col("page_id") < F.col("holder")))
+
+    def revisits(batches):
+        for batch in batches:
+            out = [revisit_record(p, u, n, h, _base32(x)) for p, u, n, x, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "size", "sha", "holder")))]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    def run(batches):
+    def responses(batches):
+        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
-            for page_id, url, html, sha, holder in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "sha", "holder"))):
-                revisits = holder if page_id is not None and holder is not None and holder != page_id else None
-                out += page_records(page_id, url, html.encode(), revisits, base64.b32encode(bytes.fromhex(sha)).decode(), segment)
+            for page_id, url, html, sha, copies in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "sha", "copies"))):
+                row += 1
+                more = f":{task}-{row}" if page_id is None or (copies or 0) > 1 else ""
+                out += page_records(page_id, url, html.encode(), _base32(sha), more, segment)
                 if sum(map(len, out[-64:])) > 4_000_000 or len(out) > 2_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    records = planned.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    marked = with_possible(own, "sha", groups.select("sha"))
+    alone = marked.where("not __possible").select("page_id", "url", "html", "sha", F.lit(None).cast("long").alias("copies"))
+    shared = skew_join(marked.where("__possible").select("page_id", "url", "html", "sha"), groups, "sha", "left")
+    shared = shared.where(F.col("holder").isNull() | F.col("page_id").isNull() | (F.col("page_id") == F.col("holder"))).select(alone.columns)
+    records = alone.unionByName(shared).mapInArrow(responses, "record binary").unionByName(again.mapInArrow(revisits, "record binary"))
+    records = records.select(F.col("record").cast("string").alias("value"))
     records.write.options(lineSep="\r\n\r\n", compression=compression, maxRecordsPerFile=RECORDS).text(path)
 
 
@@ -162,7 +196,7 @@ def _read(spark: SparkSession, path: str, schema: str, take) -> DataFrame:
                     row = take(r)
                     if row is not None:
                         rows.append(row)
-                        size += len(r[-1])
+                        size += len(row[-1] or b"") + 100
                     if size > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), own.types)], schema=own)
                         rows, size = [], 0
@@ -177,31 +211,22 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, _RAW, lambda r: r)
 
 
-def assemble(parts: list[tuple[int, int | None, bytes]]) -> list[bytes]:
-    """The blocks that (segment number, total length, block) rows of one origin make up.
-
-    Rows that were written twice (repeated pages) make up equal blocks, each given once for every first segment.
-    """
-    by: dict[int, list] = {}
-    for number, total, block in parts:
-        by.setdefault(number, []).append((total, block))
-    copies = len(by.get(1, []))
-    if sorted(by) != list(range(1, len(by) + 1)):
-        raise ValueError("a segment is missing")
-    if any(len(v) != copies for v in by.values()) or any(len({b for _, b in v}) > 1 for v in by.values()):
-        raise ValueError("segments of one origin contradict each other")
-    block = b"".join(by[i][0][1] for i in range(1, len(by) + 1))
-    total = by[len(by)][0][0]
-    if total is None or total != len(block):
+def assemble(parts: list[tuple[int, int | None, bytes]]) -> bytes:
+    """The block that (segment number, total length, block) rows of one origin make up."""
+    parts = sorted(parts, key=lambda p: p[0])
+    if [p[0] for p in parts] != list(range(1, len(parts) + 1)):
+        raise ValueError("a segment is missing or stands there twice")
+    block = b"".join(p[2] for p in parts)
+    if parts[-1][1] is None or parts[-1][1] != len(block):
         raise ValueError("the segments don't have the total length")
-    return [block] * copies
+    return block
 
 
 _PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def _number(name: str | None) -> int | None:
-    name = name[len("<urn:page:") : -1] if name else "null"
+    name = name.removeprefix("<urn:page:").split(":")[0] if name else "null"
     return None if name == "null" else int(name)
 
 
@@ -228,20 +253,23 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for origin, parts in zip(batch.column("origin").to_pylist(), batch.column("parts").to_pylist()):
-                first = next(p for p in parts if p["number"] == 1)
-                for block in assemble([(p["number"], p["total"], p["block"]) for p in parts]):
-                    rows.append(_described(first["kind"], origin, None, first["digest"], block))
+                first = min(parts, key=lambda p: p["number"])
+                rows.append(_described(first["kind"], origin, None, first["digest"], assemble([(p["number"], p["total"], p["block"]) for p in parts])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    whole = _read(spark, path, _PAGES, lambda r: _described(*r[:4], r[7]) if r[5] is None else None)
+    # one pass over the files: whole records are described at once, segments go on as they are
+    segment = "kind string, digest string, origin string, number int, total long, block binary"
+    both = _read(spark, path, f"{_PAGES}, {segment}", lambda r: (*_described(*r[:4], r[7]), *[None] * 6) if r[5] is None else (*[None] * 5, r[0], *r[3:]))
+    both = staged(both, "warc-read")
+    whole = both.where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     # a group is one page's segments
-    parts = _read(spark, path, _RAW, lambda r: r if r[5] is not None else None)
-    groups = parts.groupBy("origin").agg(F.collect_list(F.struct("number", "kind", "total", "digest", "block")).alias("parts"))
+    groups = both.where("origin is not null").groupBy("origin").agg(F.collect_list(F.struct("number", "kind", "total", "digest", "block")).alias("parts"))
     return whole.unionByName(groups.mapInArrow(joined, _PAGES))
 
 
 def archive(pages: DataFrame) -> DataFrame:
+    """Writes the pages' archives, reads them back and gives what read_pages() does."""
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_archives(pages, path)
