@@ -10,8 +10,8 @@ encode -> cut -> store -> verify:
   with the Merkle root over its documents' roots.
 
 One shuffle carries chunks (each task sends a chunk once) and recipes. Reading back checks every chunk
-against its name and every manifest against its recipes; document checksums come from chunk checksums
-by CRC's linearity, so ids needn't be shuffled again.
+against its name, every recipe against its root, and every file's recipes, in their order, against its manifest: a store that lost, changed or
+swapped anything raises. Document checksums come from chunk checksums by CRC's linearity, so ids needn't be shuffled again.
 
 Null text counts as empty. Rows with a null doc_id come first in the order; repeated rows are documents of
 their own and share all chunks. An empty table gives an empty store.
@@ -100,14 +100,45 @@ def cut_points(ids: np.ndarray, starts: np.ndarray, least: int = LEAST, most: in
     return out
 
 
+_NOTHING = blake2b(b"", digest_size=16).digest()
+
+
+class Merkle:
+    """A Merkle tree's root over 16-byte digests that come one after another; an odd last node of a level goes up as it is.
+
+    Only the whole subtrees so far are held, one a level at most, so memory and root don't depend on how the leaves come in batches.
+    """
+
+    def __init__(self):
+        self.count, self.peaks = 0, []
+
+    def add(self, leaf: bytes) -> None:
+        n, node = self.count, leaf
+        while n & 1:
+            node = _joint(self.peaks.pop(), node)
+            n >>= 1
+        self.peaks.append(node)
+        self.count += 1
+
+    def root(self) -> bytes:
+        """No leaves: the digest of nothing."""
+        if not self.peaks:
+            return _NOTHING
+        node = self.peaks[-1]
+        for peak in reversed(self.peaks[:-1]):
+            node = _joint(peak, node)
+        return node
+
+
+def _joint(a: bytes, b: bytes) -> bytes:
+    return blake2b(b"\x01" + a + b, digest_size=16).digest()
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root over 16-byte digests; an odd last node goes up as it is. No leaves: the digest of nothing."""
-    if not leaves:
-        return blake2b(b"", digest_size=16).digest()
-    level = leaves
-    while len(level) > 1:
-        level = [blake2b(b"\x01" + b"".join(level[i : i + 2]), digest_size=16).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -185,41 +216,62 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     ordered.withColumn("file", F.spark_partition_id().cast("long")).mapInArrow(_ordered, _ORDERED).write.parquet(f"{path}/recipes")
     # one row a file: as many as there are partitions
-    manifests = spark.read.schema(_ORDERED).parquet(f"{path}/recipes").groupBy("file").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    manifests = _manifests(spark, path)
     from pyspark.sql import Window
 
     manifests.withColumn("start", F.sum("n_tokens").over(Window.orderBy("file")) - F.col("n_tokens")).write.parquet(f"{path}/manifests")
-    _roots(spark, path).write.parquet(f"{path}/roots")
 
 
-def _roots(spark: SparkSession, path: str) -> DataFrame:
-    """The Merkle root of each recipe file, over its documents' roots in order."""
+_MANIFEST = "file long, n_docs long, n_tokens long, root binary"
+
+
+def _manifests(spark: SparkSession, path: str) -> DataFrame:
+    """For each recipe file, from what it holds: documents, ids, and the Merkle root over its documents' roots in order."""
 
     def run(batches):
-        leaves: dict[int, list[bytes]] = {}
+        schema = pa.schema([("file", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
+        name, tree, tokens = None, Merkle(), 0
         for batch in batches:
-            for f, r in zip(batch.column("file").to_pylist(), batch.column("root").to_pylist()):
-                leaves.setdefault(f, []).append(r)
-        # a file may be read in several splits: a root for each run of documents, named by its first one's place
-            for f in list(leaves):
-                if len(leaves[f]) > 100_000:
-                    leaves[f] = [merkle(leaves[f])]
-        yield pa.RecordBatch.from_pydict({"file": list(leaves), "root": [merkle(x) for x in leaves.values()]}, schema=pa.schema([("file", pa.int64()), ("root", pa.binary())]))
-
-    # all documents of a file stand in one partition again, in order
-    recipes = spark.read.schema(_ORDERED).parquet(f"{path}/recipes").select("file", "local", "root")
-    return recipes.repartition("file").sortWithinPartitions("file", "local").select("file", "root").mapInArrow(run, "file long, root binary")
+            out = []
+            for f, n, r in zip(*(batch.column(c).to_pylist() for c in ("file", "n_tokens", "root"))):
+                if f != name:
+                    if name is not None:
+                        out.append((name, tree.count, tokens, tree.root()))
+                    name, tree, tokens = f, Merkle(), 0
+                tree.add(r)
+                tokens += n
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        if name is not None:
+            yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [tree.count], "n_tokens": [tokens], "root": [tree.root()]}, schema=schema)
+
+    # a file may be read in several splits: its documents come together again, in order
+    recipes = spark.read.schema(_ORDERED).parquet(f"{path}/recipes").select("file", "local", "n_tokens", "root")
+    return recipes.repartition("file").sortWithinPartitions("file", "local", "root").select("file", "n_tokens", "root").mapInArrow(run, _MANIFEST)
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([f for f in _ROWS if f.name != "bucket"])).parquet(f"{path}/raw").where("kind = 'chunk'").select("digest", "payload")
 
 
+def verify(spark: SparkSession, path: str) -> DataFrame:
+    """file, start, intact: does each recipe file still hold what its manifest says?"""
+    kept = spark.read.schema(f"{_MANIFEST}, start long").parquet(f"{path}/manifests").select("file", "start", F.struct("n_docs", "n_tokens", "root").alias("kept"))
+    now = _manifests(spark, path).select("file", F.struct("n_docs", "n_tokens", "root").alias("now"))
+    return kept.join(now, "file", "full").select("file", "start", F.coalesce(F.col("kept") == F.col("now"), F.lit(False)).alias("intact"))
+
+
 def recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with each document's start in the whole stream."""
+    """Recipes with each document's start in the whole stream; raises where a file isn't what its manifest says.
+
+    Manifests are few (one a partition of the writer) and are tested first, so that a file that is gone altogether is noticed too.
+    """
+    broken = [r["file"] for r in verify(spark, path).where("not intact").limit(10).collect()]
+    if broken:
+        raise ValueError(f"recipe files {broken} don't hold what their manifests say")
     r = spark.read.schema(_ORDERED).parquet(f"{path}/recipes")
-    m = spark.read.schema("file long, n_docs long, n_tokens long, start long").parquet(f"{path}/manifests").select("file", F.col("start").alias("base"))
-    # manifests: one row a recipe file, so bounded by the number of partitions
+    m = spark.read.schema(f"{_MANIFEST}, start long").parquet(f"{path}/manifests").select("file", F.col("start").alias("base"))
+    # one row a recipe file, so bounded by the number of partitions
     return r.join(F.broadcast(m), "file").withColumn("start", F.col("base") + F.col("local")).drop("base")
 
 
@@ -309,13 +361,8 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, start long, ids array<long>")
 
 
-def verify(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each recipe file: is its root still the one that its manifest has?"""
-    kept = spark.read.schema("file long, root binary").parquet(f"{path}/roots").withColumnRenamed("root", "kept")
-    return kept.join(_roots(spark, path), "file", "full").select("file", F.coalesce(F.col("kept") == F.col("root"), F.lit(False)).alias("intact"))
-
-
 def store(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """Writes the store to the shared folder and reads it back."""
     spark = docs.sparkSession
     path = scratch(spark, "tokenstore")
     write_store(docs, path, tokenizer, end_id)
