@@ -15,25 +15,85 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: A fold's state is copied at each step, so a state that grows with a text would make its time grow with the square. Running sums and the
+#: like are therefore made in blocks of so many items, and then over the blocks.
+BLOCK = 64
+
+
+def java(regex: str) -> str:
+    """A pattern as Java should read it: word borders and blanks as Unicode has them, whatever the version."""
+    return f"(?U){regex}"
+
+
 def spans_of(text: Column, regex: str | Column) -> Column:
     """All matches of a pattern with their offsets (0-based, half-open, code points), without Python.
 
-    The pieces between matches come from split(); one fold adds up lengths.
+    The pieces between matches come from split(); lengths are added up in blocks.
     """
+    pattern = F.lit(java(regex)) if isinstance(regex, str) else regex
     none = F.expr(f"cast(array() as {SPANS})")
     start = F.struct(F.lit(0).cast("bigint").alias("p"), none.alias("o"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["p"] + x["g"]
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("p"), F.concat(acc["o"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("o"))
+    def offsets(found: Column, gaps: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            begin = acc["p"] + F.length(F.get(gaps, i))
+            end = begin + F.length(F.get(found, i))
+            return F.struct(end.alias("p"), F.concat(acc["o"], F.array(F.struct(begin.alias("start"), end.alias("end"), F.get(found, i).alias("text")))).alias("o"))
+
+        def moved(blocks: Column) -> Column:
+            def one(x: Column, b: Column) -> Column:
+                base = F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0).cast("bigint"), lambda n, y: n + y["p"])
+                return bind(base, lambda n: F.transform(x["o"], lambda s: F.struct((s["start"] + n).alias("start"), (s["end"] + n).alias("end"), s["text"].alias("text"))))
+
+            return F.flatten(F.transform(blocks, one))
+
+        last = F.size(found) - 1
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")), lambda b: F.aggregate(F.sequence(b * BLOCK, F.least(b * BLOCK + BLOCK - 1, last)), start, step))
+        return bind(blocks, moved)
+
+    gaps = lambda found: F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    return bind(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) > 0, bind(gaps(found), lambda g: offsets(found, g))).otherwise(none))
+
+
+def literal(text: str) -> str:
+    """A string as Spark SQL writes it."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def offsets(found: Column) -> Column:
-        gaps = F.slice(F.split(text, regex, -1), F.lit(1), F.size(found))
-        pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["o"])).otherwise(none)
 
-    return bind(F.regexp_extract_all(text, regex if isinstance(regex, Column) else F.lit(regex), F.lit(0)), offsets)
+def spans_sql(text: str, regex: str) -> str:
+    """spans_of() as SQL text, for many patterns at once: one long expression is parsed far sooner than it is put together call by call."""
+    r, none = literal(java(regex)), f"cast(array() as {SPANS})"
+    n, m = "length(get(g, i))", "length(get(f, i))"
+    step = f"named_struct('p', a.p + {n} + {m}, 'o', concat(a.o, array(named_struct('start', a.p + {n}, 'end', a.p + {n} + {m}, 'text', get(f, i)))))"
+    block = f"aggregate(sequence(b * {BLOCK}, least(b * {BLOCK} + {BLOCK - 1}, size(f) - 1)), named_struct('p', 0L, 'o', {none}), (a, i) -> {step})"
+    moved = "transform(x.o, s -> named_struct('start', s.start + n, 'end', s.end + n, 'text', s.text))"
+    each = f"element_at(transform(array(aggregate(slice(k, 1, b), 0L, (n, y) -> n + y.p)), n -> {moved}), 1)"
+    blocks = f"element_at(transform(array(transform(sequence(0, (size(f) - 1) div {BLOCK}), b -> {block})), k -> flatten(transform(k, (x, b) -> {each}))), 1)"
+    gaps = f"element_at(transform(array(slice(split({text}, {r}, -1), 1, size(f))), g -> {blocks}), 1)"
+    return f"element_at(transform(array(regexp_extract_all({text}, {r}, 0)), f -> if(size(f) > 0, {gaps}, {none})), 1)"
+
+
+def islands(spans: Column) -> Column:
+    """Spans in order of start, cut into runs that don't meet: a run begins where no span before it reaches."""
+    least = F.lit(-1).cast("bigint")
+    top = lambda xs: F.coalesce(F.array_max(xs), least)
+    end = lambda s: s["end"]
+
+    def cut(o: Column) -> Column:
+        n = F.size(o)
+        tops = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.array_max(F.transform(F.slice(o, b * BLOCK + 1, F.lit(BLOCK)), end)))
+
+        def begins(before: Column) -> Column:
+            def fresh(i: Column) -> Column:
+                own = F.slice(o, i - i % BLOCK + 1, i % BLOCK)  # the spans before it in its block
+                return F.get(o, i)["start"] >= F.greatest(F.get(before, F.floor(i / BLOCK).cast("int")), top(F.transform(own, end)))
+
+            return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | fresh(i))
+
+        runs = lambda at: F.transform(at, lambda i, j: F.slice(o, i + 1, F.coalesce(F.get(at, j + 1), n) - i))
+        return bind(bind(bind(tops, lambda t: F.transform(t, lambda _, b: top(F.slice(t, F.lit(1), b)))), begins), runs)
+
+    return bind(spans, lambda o: F.when(F.size(o) > 1, cut(o)).otherwise(F.array(o)))
 
 
 def first_line(text: Column) -> Column:
@@ -56,27 +116,23 @@ def has_high_age(text: Column, limit: int = AGE_LIMIT) -> Column:
     return F.exists(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda n: n.cast("decimal(38,0)") > limit)
 
 
-def digits(text: Column) -> Column:
-    return F.regexp_replace(text, "[^0-9]", "")
-
-
-def passes(check: str | None, text: Column) -> Column:
-    """The test that a general recognizer's match must pass."""
-    if check is None:
-        return F.lit(True)
-    if check == "octets":
-        return F.forall(F.split(text, r"\."), lambda p: p.cast("int") <= 255)
-    if check == "luhn":
-        return F.call_function("luhn_check", digits(text))
-    if check == "mod97":
-        turned = F.concat(F.substring(text, 5, 100), F.substring(text, 1, 4))
-        codes = F.transform(F.split(turned, ""), lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55))
-        return F.aggregate(codes, F.lit(0), lambda a, c: F.when(c > 9, (a * 100 + c) % 97).otherwise((a * 10 + c) % 97)) == 1
-    if check == "mod11":
-        n = F.transform(F.split(digits(text), ""), lambda c: c.cast("int"))
-        total = F.aggregate(F.transform(F.slice(n, 1, 9), lambda d, i: d * (10 - i)), F.lit(0), lambda a, d: a + d)
-        return (11 - total % 11) % 11 == F.element_at(n, 10)
-    raise ValueError(check)
+_DIGITS = "regexp_replace({t}, '[^0-9]', '')"
+_NTH = "cast(substring({t}, %d, 1) as int)"
+#: The tests that a general recognizer's match must pass, as SQL over {t}.
+CHECKS = {
+    "octets": "forall(split({t}, '[.]'), p -> cast(p as int) <= 255)",
+    "luhn": f"luhn_check({_DIGITS})",
+    "nine": f"length({_DIGITS}) between 9 and 15",
+    "mod97": "aggregate(transform(split(concat(substring({t}, 5), substring({t}, 1, 4)), ''), c -> if(c rlike '[0-9]', cast(c as int), ascii(c) - 55)), 0, (a, c) -> if(c > 9, (a * 100 + c) % 97, (a * 10 + c) % 97)) = 1",
+    "mod11": f"(11 - aggregate(sequence(1, 9), 0, (a, i) -> a + (11 - i) * cast(substring({_DIGITS}, i, 1) as int)) % 11) % 11 = cast(substring({_DIGITS}, 10, 1) as int)",
+    "groups": "if(contains({t}, '::'), size(filter(split({t}, ':'), g -> g <> '')) <= 7, size(filter(split({t}, ':'), g -> g <> '')) = 8)",
+    "dea": "(" + " + ".join(f"{n} * {_NTH % i}" for i, n in zip(range(3, 9), [1, 2] * 3)) + f") % 10 = {_NTH % 9}",
+}
+
+
+def passes(check: str | None, text: str) -> str:
+    """SQL: does this text, an SQL expression, pass a check?"""
+    return "true" if check is None else CHECKS[check].replace("{t}", text)
 
 
 def tokens(text: Column) -> Column:

@@ -12,50 +12,56 @@ from spanloom.functions import text as X
 
 #: An engine turns a table (doc_id, text) into one with `detections`; others can be added.
 Detector = Callable[[DataFrame], DataFrame]
+#: A model for names, places and the like: from a text column to one of arrays of SPAN (say, a pandas UDF).
+Named = Callable[[Column], Column]
 
+#: Pattern names whose general recognizers are on in the standard engine: all.
+GENERAL = list(D.GENERAL)
 SPAN = "struct<start:bigint,end:bigint,entity_type:string,score:double,detected_by:string,text:string,pattern_name:string>"
 
 
-def _rows(spans: Column, entity: str, score: float, source: str, name: str) -> Column:
-    return F.transform(
-        spans,
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(entity).alias("entity_type"), F.lit(score).alias("score"), F.lit(source).alias("detected_by"), s["text"].alias("text"), F.lit(name).alias("pattern_name")),
-    )
+def _found(text: str, p: D.Pattern, check: str | None = None) -> str:
+    """SQL: a recognizer's spans as an array of SPAN. A cheap test of the pattern spares the offsets where nothing matches."""
+    found = X.spans_sql(text, p.regex)
+    if check:
+        found = f"filter({found}, s -> {X.passes(check, 's.text')})"
+    span = f"named_struct('start', s.start, 'end', s.end, 'entity_type', '{p.entity}', 'score', {p.score}D, 'detected_by', 'presidio', 'text', s.text, 'pattern_name', '{p.name}')"
+    return f"if({text} rlike {X.literal(X.java(p.regex))}, transform({found}, s -> {span}), cast(array() as array<{SPAN}>))"
 
 
-def recognized(text: Column, patterns: list[D.Pattern] | None = None) -> Column:
-    """Spans of the pattern recognizers, as an array. A cheap test of the pattern spares the offsets where nothing matches."""
-    empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    parts = [F.when(text.rlike(p.regex), _rows(X.spans_of(text, p.regex), p.entity, p.score, "presidio", p.name)).otherwise(empty) for p in (D.PATTERNS if patterns is None else patterns)]
-    return F.concat(empty, *parts)
+def _all(parts: list[str]) -> Column:
+    return F.expr(f"concat({', '.join([f'cast(array() as array<{SPAN}>)', *parts])})")
+
 
+def recognized(text: str, patterns: list[D.Pattern] | None = None) -> Column:
+    """Spans of the pattern recognizers in a text column, as an array."""
+    return _all([_found(text, p) for p in (D.PATTERNS if patterns is None else patterns)])
 
-def general(text: Column, names: list[str]) -> Column:
+
+def general(text: str, names: list[str]) -> Column:
     """Spans of general recognizers (e-mail, IP, card, ...) that pass their check."""
-    parts = []
-    for n in names:
-        p, check = D.GENERAL[n]
-        parts.append(_rows(F.filter(X.spans_of(text, p.regex), _passing(check)), p.entity, p.score, "presidio", p.name))
-    return F.concat(F.expr(f"cast(array() as array<{SPAN}>)"), *parts)
+    return _all([_found(text, *D.GENERAL[n]) for n in names])
 
 
-def _passing(check: str | None):
-    return lambda s: X.passes(check, s["text"])
+def _quoted(term: str) -> str:
+    return "".join("\\" + c if c in "-.+" else c for c in term)
 
 
-def _term(term: str) -> str:
-    """A whole term between characters that are no letters or digits; an underscore is none either."""
-    quoted = "".join("\\" + c if c in "-.+" else c for c in term)
-    return rf"(?i)(?<![\p{{L}}\p{{N}}]){quoted}(?![\p{{L}}\p{{N}}])"
+def _whole(pattern: str) -> str:
+    """A pattern between characters that are no letters or digits; an underscore is none either."""
+    return rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{pattern})(?![\p{{L}}\p{{N}}])"
 
 
 def swept(text: Column) -> Column:
     """Every whole occurrence of each dictionary term (nested ones too), as the second source.
 
-    The dictionaries are one array of literals; only terms that the text contains are looked for.
+    The dictionaries are one array of literals. One pattern of all terms tells texts without any; in the others only terms that the text
+    contains are looked for.
     """
     sql = lambda x: "'" + x.replace("\\", "\\\\") + "'"
-    terms = ", ".join(f"named_struct('term', {sql(t)}, 'regex', {sql(_term(t))}, 'entity', '{entity}', 'score', {score}D)" for ts, entity, score in D.GAZETTEERS for t in ts)
+    terms = ", ".join(f"named_struct('term', {sql(t)}, 'regex', {sql(_whole(_quoted(t)))}, 'entity', '{entity}', 'score', {score}D)" for ts, entity, score in D.GAZETTEERS for t in ts)
+    some = _whole("|".join(sorted({_quoted(t) for ts, _, _ in D.GAZETTEERS for t in ts})))
+    empty = F.expr(f"cast(array() as array<{SPAN}>)")
 
     def found(t: Column) -> Column:
         return F.transform(
@@ -63,22 +69,52 @@ def swept(text: Column) -> Column:
             lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), t["entity"].alias("entity_type"), t["score"].alias("score"), F.lit("openbioner").alias("detected_by"), s["text"].alias("text"), F.lit("gazetteer").alias("pattern_name")),
         )
 
-    return X.bind(F.lower(text), lambda low: F.flatten(F.transform(F.filter(F.expr(f"array({terms})"), lambda t: F.contains(low, t["term"])), found)))
+    every = X.bind(F.lower(text), lambda low: F.flatten(F.transform(F.filter(F.expr(f"array({terms})"), lambda t: F.contains(low, t["term"])), found)))
+    return F.when(text.rlike(some), every).otherwise(empty)
+
+
+#: Characters before a span in which its context words are looked for first; a text whose words are longer is read from its start.
+NEARBY = 400
 
 
 def context_boost(spans: Column, text: Column, patterns: list[D.Pattern] | None = None) -> Column:
-    """Raises the score of a span that has one of its pattern's context words among the words before it."""
-    words = F.create_map(*[x for p in (D.PATTERNS if patterns is None else patterns) for x in (F.lit(p.name), F.split(F.lit(p.context), " "))])
+    """Raises the score of a span that has one of its pattern's context words or phrases among the words before it."""
+    known = [*D.PATTERNS, *(p for p, _ in D.GENERAL.values())] if patterns is None else patterns
+    phrases = F.create_map(*[x for p in known for x in (F.lit(p.name), F.split(F.lit(p.context), ","))])
+
+    def words_before(s: Column) -> Column:
+        at = s["start"].cast("int")
+        words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9/#]+"), F.lit(0))
+        few = words(F.substring(text, F.greatest(at - (NEARBY - 1), F.lit(1)), F.least(at, F.lit(NEARBY))))
+        # the first word of a cut may be cut itself
+        return X.bind(few, lambda w: F.when((at <= NEARBY) | (F.size(w) > D.CONTEXT_WORDS), w).otherwise(words(F.substring(text, F.lit(1), at))))
 
     def boosted(s: Column) -> Column:
-        before = F.regexp_extract_all(F.lower(F.substring(text, F.lit(1), s["start"].cast("int"))), F.lit("[a-z0-9/#]+"), F.lit(0))
-        near = F.slice(before, F.greatest(F.size(before) - (D.CONTEXT_WORDS - 1), F.lit(1)), F.lit(D.CONTEXT_WORDS))
-        hit = F.coalesce(F.arrays_overlap(near, F.try_element_at(words, s["pattern_name"])), F.lit(False))
+        near = X.bind(words_before(s), lambda w: F.concat(F.lit(" "), F.array_join(F.slice(w, F.greatest(F.size(w) - (D.CONTEXT_WORDS - 1), F.lit(1)), F.lit(D.CONTEXT_WORDS)), " "), F.lit(" ")))
+        own = F.try_element_at(phrases, s["pattern_name"])
+        hit = X.bind(near, lambda n: F.coalesce(F.exists(own, lambda p: (p != "") & F.contains(n, F.concat(F.lit(" "), p, F.lit(" ")))), F.lit(False)))
         return s.withField("score", F.when(hit, F.greatest(F.lit(D.CONTEXT_FLOOR), F.least(F.lit(1.0), s["score"] + D.CONTEXT_BOOST))).otherwise(s["score"]))
 
     return F.transform(spans, boosted)
 
 
+def without_contained(spans: Column) -> Column:
+    """Without spans that lie within one of the same kind that is at least as sure (of equal ones, the first by name stays).
+
+    In order of start and falling end only earlier spans of a run that hangs together can hold a span.
+    """
+    key = lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), (-s["score"]).alias("c"), s["pattern_name"].alias("d"), s.alias("s"))
+    ordered = F.transform(F.array_sort(F.transform(spans, key)), lambda k: k["s"])
+
+    def alone(run: Column) -> Column:
+        def held(x: Column, i: Column) -> Column:
+            return F.exists(F.slice(run, F.lit(1), i), lambda o: (o["entity_type"] == x["entity_type"]) & (o["end"] >= x["end"]) & (o["score"] >= x["score"]))
+
+        return F.filter(run, lambda x, i: ~held(x, i))
+
+    return F.flatten(F.transform(X.islands(ordered), alone))
+
+
 def over_threshold(spans: Column, threshold: float = D.SCORE_THRESHOLD) -> Column:
     return F.filter(spans, lambda s: s["score"] >= threshold)
 
@@ -106,7 +142,7 @@ def merge(spans: Column) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         y = F.try_element_at(acc, F.lit(-1))
-        apart = F.size(acc).eqNullSafe(0) | (x["start"] >= y["end"]) | (x["end"] <= y["start"])
+        apart = (F.size(acc) == 0) | (x["start"] >= y["end"]) | (x["end"] <= y["start"])
         mx, my = _medical(x["entity_type"]), _medical(y["entity_type"])
         nx, ny = x["end"] - x["start"], y["end"] - y["start"]
         same = x["entity_type"] == y["entity_type"]
@@ -117,7 +153,9 @@ def merge(spans: Column) -> Column:
         both = X.bind(winner, lambda v: v.withField("detected_by", F.when(x["detected_by"] != y["detected_by"], F.lit("ensemble")).otherwise(v["detected_by"])))
         return F.when(apart, F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both)))
 
-    return F.aggregate(ordered, F.expr(f"cast(array() as array<{SPAN}>)"), step)
+    # runs of spans that hang together are folded one by one, so that a fold's state stays small
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    return F.flatten(F.transform(X.islands(ordered), lambda run: F.aggregate(run, none, step)))
 
 
 def kinship_words(text: Column) -> Column:
@@ -134,11 +172,11 @@ def kinship_boost(spans: Column, text: Column) -> Column:
     """Persons within some words of a keyword get a higher score, once."""
 
     def one(s: Column, keys: Column) -> Column:
-        near = X.bind(word_number(text, s["start"]), lambda at: F.exists(keys, lambda k: F.abs(k - at) <= D.KINSHIP_WORDS))
+        near = F.when(s["entity_type"] == "PERSON", X.bind(word_number(text, s["start"]), lambda at: F.exists(keys, lambda k: F.abs(k - at) <= D.KINSHIP_WORDS))).otherwise(F.lit(False))
         raised = s.withField("score", F.least(F.lit(1.0), s["score"] + D.KINSHIP_BOOST)).withField("detected_by", F.lit("ensemble"))
-        return F.when((s["entity_type"] == "PERSON") & near, raised).otherwise(s)
+        return F.when(near, raised).otherwise(s)
 
-    return X.bind(kinship_words(text), lambda keys: F.transform(spans, lambda s: one(s, keys)))
+    return X.bind(kinship_words(text), lambda keys: F.when(F.size(keys) > 0, F.transform(spans, lambda s: one(s, keys))).otherwise(spans))
 
 
 def shield(spans: Column) -> Column:
@@ -159,46 +197,47 @@ def classify(spans: Column) -> Column:
     )
 
 
-def standard(docs: DataFrame, sources: list[str] | None = None, boost: bool = False, extra: list[str] | None = None) -> DataFrame:
-    """The standard engine: adds `detections` to a table (doc_id, text). Blank texts have none.
+def analyzed(text: str, extra: list[str] | None = None, named: Named | None = None) -> Column:
+    """What the first source finds: all recognizers, raised by context, over the threshold, without spans held by others of their kind."""
+    found = F.concat(recognized(text), general(text, GENERAL if extra is None else extra), *([named(F.col(text))] if named else []))
+    return X.bind(found, lambda f: without_contained(over_threshold(context_boost(f, F.col(text)))))
+
 
+def standard(docs: DataFrame, extra: list[str] | None = None, named: Named | None = None) -> DataFrame:
+    """The standard engine: adds `detections` to a table (doc_id, text). Null and blank texts have none.
+
+    extra: names of general recognizers (all of them by default); named: a model for names and places beside the rules.
     Each step is a projection of its own, so that a step's result is made once.
     """
-    text = F.col("text")
-    found = recognized(text) if sources is None or "patterns" in sources else F.expr(f"cast(array() as array<{SPAN}>)")
-    if extra:
-        found = F.concat(found, general(text, extra))
-    out = docs.withColumn("__found", F.when(F.length(F.trim(text)) > 0, found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
-    if boost:
-        out = out.withColumn("__found", context_boost(F.col("__found"), text))
-    out = out.withColumn("__found", over_threshold(F.col("__found")))
-    if sources is None or "gazetteers" in sources:
-        out = out.withColumn("__found", F.concat("__found", swept(text)))
+    text, none = F.col("text"), F.expr(f"cast(array() as array<{SPAN}>)")
+    given = F.length(F.trim(text)) > 0
+    out = docs.withColumn("__found", F.when(given, F.concat(analyzed("text", extra, named), swept(text))).otherwise(none))
     out = out.withColumn("__found", merge(trim_newlines(F.col("__found"))))
-    out = out.withColumn("__found", classify(shield(kinship_boost(F.col("__found"), text))))
+    out = out.withColumn("__found", classify(shield(kinship_boost(F.col("__found"), F.coalesce(text, F.lit(""))))))
     return out.withColumnRenamed("__found", "detections")
 
 
 def rows(detected: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A row for each detection."""
-    return detected.select(key, F.posexplode("detections").alias("seq", "d")).select(key, F.col("seq").cast("long").alias("seq"), "d.*")
+    """A row for each detection. An outer explode: from a plain one the optimizer infers a test of the array's size, and
+    pushed below the engine's projections that test would take a copy of the whole detection along."""
+    out = detected.select(key, F.posexplode_outer("detections").alias("seq", "d")).where(F.col("seq").isNotNull())
+    return out.select(key, F.col("seq").cast("long").alias("seq"), "d.*")
 
 
 ENGINES: dict[str, Detector] = {"standard": standard}
 
 
 def register_engine(name: str, engine: Detector) -> None:
-    """Adds an engine, such as a token classifier behind mapInArrow; it must add the same `detections` column."""
+    """Adds an engine, such as a token classifier (see bio.engine); it must add the same `detections` column."""
     ENGINES[name] = engine
 
 
 def redact(text: Column, detections: Column) -> Column:
     """Masked spans become [KIND], aggregated ages lose their number, the rest stays. Spans are disjoint and sorted, as merge() leaves them."""
-    start = F.struct(F.lit(0).cast("bigint").alias("p"), F.lit("").alias("o"))
-
-    def step(acc: Column, d: Column) -> Column:
-        gap = F.substring(text, (acc["p"] + 1).cast("int"), (d["start"] - acc["p"]).cast("int"))
-        new = F.when(d["action"] == "MASKED", F.concat(F.lit("["), d["entity_type"], F.lit("]"))).when(d["action"] == "AGE_AGGREGATED", X.aggregate_age(d["text"])).otherwise(d["text"])
-        return F.struct(d["end"].alias("p"), F.concat(acc["o"], gap, new).alias("o"))
+    def part(d: Column, i: Column) -> Column:
+        past = F.coalesce(F.get(detections, i - 1)["end"], F.lit(0))  # where the one before ends
+        gap = F.substring(text, (past + 1).cast("int"), (d["start"] - past).cast("int"))
+        return F.concat(gap, F.when(d["action"] == "MASKED", F.concat(F.lit("["), d["entity_type"], F.lit("]"))).when(d["action"] == "AGE_AGGREGATED", X.aggregate_age(d["text"])).otherwise(d["text"]))
 
-    return F.aggregate(detections, start, step, lambda acc: F.concat(acc["o"], F.substring(text, (acc["p"] + 1).cast("int"), F.length(text))))
+    tail = F.substring(text, (F.coalesce(F.get(detections, F.size(detections) - 1)["end"], F.lit(0)) + 1).cast("int"), F.length(text))
+    return F.concat(F.array_join(F.transform(detections, part), ""), tail)

@@ -9,6 +9,7 @@ from spanloom.functions import dictionaries as D
 from spanloom.functions import text as X
 from spanloom.operators import audit, bio, detect, geometry
 from spanloom.plans import sqltext as S
+from spanloom.sources import readers
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -32,8 +33,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of keys dealt out to all cores, for what is costly to make of each key; as it is where it has splits enough."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(S.NOTES, customer=table(spark, sf_dir, "customer").select("c_custkey"))
+    return spark.sql(S.NOTES, customer=spread(table(spark, sf_dir, "customer").select("c_custkey")))
+
+
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(S.FORMS, customer=spread(table(spark, sf_dir, "customer").select("c_custkey")))
 
 
 def detected_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +67,7 @@ _SIX = 'doc_id, start, "end", entity_type, score, text, pattern_name'
 
 def _general(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _spans(documents(spark, sf_dir), detect.general(F.col("text"), [name]))
+        return _spans(documents(spark, sf_dir), detect.general("text", [name]))
 
     run.__name__ = "detect_card_luhn" if name == "card" else f"detect_{name}"
     query(f"SELECT {_SIX} FROM ({S.general(S.DOCS_SQL, [name])})")(run)
@@ -66,11 +77,24 @@ for _n in ("email", "ip", "card", "url", "phone", "date", "bank", "passport", "d
     _general(_n)
 
 
+def _form_fields(name: str, which: list[str]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _spans(forms(spark, sf_dir), detect.general("text", which))
+
+    run.__name__ = name
+    query(f"SELECT {_SIX} FROM ({S.general(S.FORMS_SQL, which)})")(run)
+
+
+for _n in ("iban", "nhs", "ipv6", "dea"):
+    _form_fields(f"detect_{_n}", [_n])
+_form_fields("detect_names", ["address", "organization", "group"])
+
+
 def _patterns(name: str, which: list[str]):
     chosen = [p for p in D.PATTERNS if p.name in which]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _spans(notes(spark, sf_dir), detect.recognized(F.col("text"), chosen))
+        return _spans(notes(spark, sf_dir), detect.recognized("text", chosen))
 
     run.__name__ = name
     query(f"SELECT {_SIX} FROM ({S.recognized(S.NOTES_SQL, chosen)})")(run)
@@ -97,27 +121,26 @@ def gazetteer_counts(spark, sf_dir):
     return gazetteer_sweep(spark, sf_dir).groupBy("entity_type", F.lower("text").alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_NEAR = "list_has_any(list_reverse(list_reverse(regexp_extract_all(lower(substr(d.text, 1, f.start)), '[a-z0-9/#]+'))[1:5]), string_split(w.words, ' '))"
-_WORDS = ", ".join(f"('{p.name}', {S.quoted(p.context)})" for p in D.PATTERNS)
-
-
-@query(
-    f"""SELECT f.doc_id, f.start, f."end", f.entity_type, round(CASE WHEN {_NEAR} THEN greatest({D.CONTEXT_FLOOR}::DOUBLE, least(1.0::DOUBLE, f.score + {D.CONTEXT_BOOST}::DOUBLE)) ELSE f.score END, 4) AS score, f.text, f.pattern_name
-FROM ({S.recognized(S.NOTES_SQL, D.PATTERNS)}) f JOIN ({S.NOTES_SQL}) d ON d.doc_id = f.doc_id JOIN (VALUES {_WORDS}) w(pattern_name, words) ON w.pattern_name = f.pattern_name"""
-)
+@query(f"SELECT doc_id, start, \"end\", entity_type, round(score, 4) AS score, text, pattern_name FROM ({S.in_context(S.recognized(S.NOTES_SQL, D.PATTERNS), S.NOTES_SQL)})")
 def context_boost(spark, sf_dir):
-    own = notes(spark, sf_dir).withColumn("s", detect.recognized(F.col("text")))
+    own = notes(spark, sf_dir).withColumn("s", detect.recognized("text"))
     out = own.withColumn("s", detect.over_threshold(detect.context_boost(F.col("s"), F.col("text"))))
     return _spans(out, F.col("s")).withColumn("score", F.round("score", 4))
 
 
+@query(f"SELECT doc_id, start, \"end\", entity_type, round(score, 4) AS score, text, pattern_name FROM ({S.analyzed(S.FORMS_SQL)})")
+def analyze_forms(spark, sf_dir):
+    """The first source whole: recognizers, context, threshold, spans within spans of their kind."""
+    return _spans(forms(spark, sf_dir).withColumn("s", detect.analyzed("text")), F.col("s")).withColumn("score", F.round("score", 4))
+
+
 # span algebra
 
 _SEVEN = 'doc_id, start, "end", entity_type, round(score, 4) AS score, detected_by, text'
 
 
 def _merged(spark, sf_dir):
-    own = notes(spark, sf_dir).withColumn("__s", F.concat(detect.recognized(F.col("text")), detect.swept(F.col("text"))))
+    own = notes(spark, sf_dir).withColumn("__s", F.concat(detect.recognized("text"), detect.swept(F.col("text"))))
     return own.withColumn("__s", detect.merge(detect.trim_newlines(F.col("__s"))))
 
 
@@ -137,7 +160,7 @@ def kinship_boost(spark, sf_dir):
 
 @query(f"SELECT {_SEVEN} FROM ({S.shielded(S.NOTES_FOUND)})")
 def medical_shield(spark, sf_dir):
-    own = notes(spark, sf_dir).withColumn("__s", F.concat(detect.recognized(F.col("text")), detect.swept(F.col("text"))))
+    own = notes(spark, sf_dir).withColumn("__s", F.concat(detect.recognized("text"), detect.swept(F.col("text"))))
     return _seven(own, detect.shield(F.col("__s")))
 
 
@@ -169,8 +192,13 @@ def redact_text(spark, sf_dir):
     return detected_notes(spark, sf_dir).select("doc_id", detect.redact(F.col("text"), F.col("detections")).alias("redacted_text"))
 
 
+@query(_redacted(S.FORMS_SQL, S.FORMS_DETECTIONS))
+def redact_forms(spark, sf_dir):
+    return detect.standard(forms(spark, sf_dir)).select("doc_id", detect.redact(F.col("text"), F.col("detections")).alias("redacted_text"))
+
+
 def _documents_detected(spark, sf_dir):
-    return detect.standard(documents(spark, sf_dir), sources=[], extra=["email", "ip", "card", "phone"])
+    return detect.standard(documents(spark, sf_dir))
 
 
 @query(_redacted(S.DOCS_SQL, S.DOCS_DETECTIONS))
@@ -178,6 +206,12 @@ def redact_documents(spark, sf_dir):
     return _documents_detected(spark, sf_dir).select("doc_id", detect.redact(F.col("text"), F.col("detections")).alias("redacted_text"))
 
 
+@query(f"SELECT entity_type, action, detected_by, count(*)::BIGINT AS n FROM ({S.DOCS_DETECTIONS}) GROUP BY ALL")
+def document_kinds(spark, sf_dir):
+    """What the whole engine finds in whole documents, by kind."""
+    return detect.rows(_documents_detected(spark, sf_dir)).groupBy("entity_type", "action", "detected_by").agg(F.count(F.lit(1)).alias("n"))
+
+
 # audits
 
 _NOTES_AUDITS = S.audits(S.NOTES_SQL, S.NOTES_DETECTIONS)
@@ -203,10 +237,15 @@ _PRESETS = [0.98, 0.90, 0.85, 0.70]
 
 
 @query(
-    f"SELECT threshold, count(*) FILTER (WHERE ensemble_mean_confidence >= threshold)::BIGINT AS unlocked, count(*) FILTER (WHERE ensemble_mean_confidence < threshold)::BIGINT AS locked, threshold < 0.98::DOUBLE AS non_production FROM ({_NOTES_AUDITS}), (SELECT unnest({_PRESETS}::DOUBLE[]) AS threshold) GROUP BY threshold"
+    f"SELECT threshold, count(*) FILTER (WHERE m >= threshold)::BIGINT AS unlocked, count(*) FILTER (WHERE m < threshold)::BIGINT AS locked, threshold < 0.98::DOUBLE AS non_production FROM ({S.audits(S.NOTES_SQL, S.NOTES_DETECTIONS, more=', {mean} AS m')}), (SELECT unnest({_PRESETS}::DOUBLE[]) AS threshold) GROUP BY threshold"
 )
 def threshold_whatif(spark, sf_dir):
-    return audit.whatif(audit.audits(detected_notes(spark, sf_dir)), _PRESETS)
+    return audit.whatif(audit.audits(detected_notes(spark, sf_dir), exact=True), _PRESETS)
+
+
+@query("SELECT least(1.0::DOUBLE, greatest(0.0::DOUBLE, arg_max(value, event_id))) AS threshold FROM events")
+def threshold_set(spark, sf_dir):
+    return audit.threshold_of(table(spark, sf_dir, "events"), "event_id", "value")
 
 
 @query(f"SELECT a.doc_id, safety_status, coalesce(r.reviews, 0)::BIGINT AS reviews, CASE WHEN r.reviews > 0 THEN 'UNLOCKED' ELSE safety_status END AS final_status FROM ({_NOTES_AUDITS}) a LEFT JOIN (SELECT user_id AS doc_id, count(*) AS reviews FROM events WHERE event_type = 'click' GROUP BY user_id) r USING (doc_id)")
@@ -221,11 +260,64 @@ def download_gate(spark, sf_dir):
     return audit.downloads(audit.audits(detected_notes(spark, sf_dir), threshold=0.9), wanted)
 
 
-@query(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::BIGINT AS seq, entity_type, CASE WHEN length(text) <= 4 THEN repeat('*', length(text)) ELSE substr(text, 1, 4) || '***' END AS original_text, round(score, 4) AS confidence_score, action, detected_by FROM ({S.NOTES_DETECTIONS})")
+_SNIPPET = "CASE WHEN length(f.text) <= 4 THEN repeat('*', length(f.text)) ELSE substr(f.text, 1, 4) || '***' END"
+
+
+def _metadata_sql(docs: str, found: str) -> str:
+    return f"SELECT d.doc_id, CASE WHEN f.doc_id IS NOT NULL THEN row_number() OVER (PARTITION BY d.doc_id ORDER BY f.start) - 1 END::BIGINT AS seq, f.entity_type, {_SNIPPET} AS original_text, round(f.score, 4) AS confidence_score, f.action, f.detected_by FROM ({docs}) d LEFT JOIN ({found}) f ON f.doc_id = d.doc_id"
+
+
+@query(_metadata_sql(S.NOTES_SQL, S.NOTES_DETECTIONS))
 def phi_metadata(spark, sf_dir):
     return audit.metadata(detected_notes(spark, sf_dir))
 
 
+@query(_metadata_sql(S.DOCS_SQL, S.DOCS_DETECTIONS))
+def document_metadata(spark, sf_dir):
+    """Documents without detections have a row too."""
+    return audit.metadata(_documents_detected(spark, sf_dir))
+
+
+@query(
+    f"""SELECT substr(md5(a.doc_id::VARCHAR || '|standard'), 1, 12) AS audit_id, 'phi_metadata_doc' || a.doc_id || '.json' AS file_name, a.safety_status, a.ensemble_mean_confidence, a.total_entities_masked, a.total_entities_detected AS n_detections, k.first_kind
+FROM ({S.audits(S.DOCS_SQL, S.DOCS_DETECTIONS)}) a LEFT JOIN (SELECT doc_id, arg_min(entity_type, start) AS first_kind FROM ({S.DOCS_DETECTIONS}) GROUP BY doc_id) k USING (doc_id)"""
+)
+def phi_metadata_json(spark, sf_dir):
+    """The JSON payload of each document, read back."""
+    found = _documents_detected(spark, sf_dir)
+    rows = audit.audits(found.withColumn("__both", F.struct("doc_id", "detections")), key="__both").select(
+        audit.audit_id("__both.doc_id").alias("audit_id"), F.concat(F.lit("doc"), F.col("__both.doc_id").cast("string"), F.lit(".pdf")).alias("document_name"), F.lit("2000-01-01T00:00:00Z").alias("timestamp"),
+        "total_entities_detected", "total_entities_masked", "total_entities_kept", "ensemble_mean_confidence", "safety_status", F.lit(1).alias("pages_processed"), F.lit(False).alias("ocr_used"), F.col("__both.detections").alias("detections"),
+    )
+    field = lambda f, kind: F.get_json_object("payload", f"$.{f}").cast(kind).alias(f)
+    return audit.metadata_json(rows).select(
+        "audit_id", "file_name", field("safety_status", "string"), field("ensemble_mean_confidence", "double"), field("total_entities_masked", "long"),
+        F.json_array_length(F.get_json_object("payload", "$.detections")).cast("long").alias("n_detections"), F.get_json_object("payload", "$.detections[0].entity_type").alias("first_kind"),
+    )
+
+
+@query(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::BIGINT AS seq, 'DETECTION ' || doc_id || ' ' || entity_type || ' ' || start || '-' || \"end\" || ' ' || action || ' ' || {_SNIPPET} AS line FROM ({S.NOTES_DETECTIONS}) f")
+def detection_log(spark, sf_dir):
+    return audit.detection_lines(detected_notes(spark, sf_dir))
+
+
+@query(
+    f"""SELECT f.doc_id, f.seq, f.entity_type, coalesce(r.decision, 'PENDING') AS decision FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::BIGINT AS seq FROM ({S.NOTES_DETECTIONS})) f
+LEFT JOIN (SELECT user_id AS doc_id, event_id % 5 AS seq, arg_max(CASE WHEN event_type = 'click' THEN 'confirmed' ELSE 'rejected' END, event_id) AS decision FROM events GROUP BY ALL) r ON r.doc_id = f.doc_id AND r.seq = f.seq"""
+)
+def review_decisions(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    said = events.select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 5).alias("seq"), F.col("event_id").alias("at"), F.when(F.col("event_type") == "click", "confirmed").otherwise("rejected").alias("decision"))
+    return audit.decided(note_rows(spark, sf_dir), said).select("doc_id", "seq", "entity_type", "decision")
+
+
+@query("SELECT event_type AS engine, arg_max(user_id, event_id) AS user_id, round(arg_max(value, event_id), 4) AS value FROM events GROUP BY event_type")
+def last_per_engine(spark, sf_dir):
+    """The last result of each engine, from an append-only store."""
+    store = table(spark, sf_dir, "events").select(F.col("event_type").alias("engine"), "event_id", "user_id", "value")
+    return audit.latest(store, "engine", "event_id").select("engine", "user_id", F.round("value", 4).alias("value"))
+
+
 @query(f"SELECT action, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM ({S.NOTES_DETECTIONS}) GROUP BY action")
 def action_filter(spark, sf_dir):
     return note_rows(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
@@ -236,15 +328,41 @@ def score_bands(spark, sf_dir):
     return note_rows(spark, sf_dir).groupBy(audit.band(F.round("score", 4)).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_CUSTOM = S.detections(S.NOTES_SQL, S.recognized(S.NOTES_SQL, D.PATTERNS[:8]))
-_AB = f"SELECT a.doc_id, m.metric, m.s AS standard, m.c AS custom, round(m.c - m.s, 4) AS difference FROM ({_NOTES_AUDITS}) a JOIN ({S.audits(S.NOTES_SQL, _CUSTOM)}) b ON a.doc_id = b.doc_id, LATERAL (VALUES ('total_entities_detected', a.total_entities_detected::DOUBLE, b.total_entities_detected::DOUBLE), ('total_entities_masked', a.total_entities_masked::DOUBLE, b.total_entities_masked::DOUBLE), ('ensemble_mean_confidence', a.ensemble_mean_confidence, b.ensemble_mean_confidence)) m(metric, s, c)"
+#: A small token classifier as expressions: names, numbers of eight digits, groups of four digits, mail addresses.
+_NAME_WORDS = ", ".join(S.quoted(x) for x in D.SURNAMES)
+_PREDICTED = f"""SELECT doc_id, token_no AS pos, start AS char_start, start + length(token) AS char_end,
+  CASE WHEN lower(regexp_replace(token, '[^A-Za-z]', '', 'g')) IN ({_NAME_WORDS}) THEN 'B-Name' WHEN regexp_matches(token, '^[0-9]{{8}}[.]$') THEN 'B-HospitalID'
+    WHEN regexp_matches(token, '^[0-9]{{4}}[.]?$') AND regexp_matches(coalesce(before, ''), '^[0-9]{{4}}$') THEN 'I-HospitalID' WHEN regexp_matches(token, '^[0-9]{{4}}$') THEN 'B-HospitalID'
+    WHEN contains(token, '@') THEN 'B-Email' ELSE 'O' END AS label, CASE WHEN contains(token, '@') THEN 0.99::DOUBLE ELSE 0.9::DOUBLE END AS score FROM ({S.tokens(S.NOTES_SQL)})"""
+_CUSTOM = S.custom(_PREDICTED, S.NOTES_SQL)
+
+
+def _predicted(docs: DataFrame) -> DataFrame:
+    t = docs.select("doc_id", X.tokens(F.col("text")).alias("ts")).select("doc_id", F.posexplode_outer(F.transform("ts", lambda t, i: F.struct(t.alias("t"), F.get(F.col("ts"), i - 1)["text"].alias("before")))).alias("pos", "x")).where(F.col("pos").isNotNull())
+    token, before = F.col("x.t.text"), F.coalesce("x.before", F.lit(""))
+    label = (
+        F.when(F.lower(F.regexp_replace(token, "[^A-Za-z]", "")).isin(*D.SURNAMES), "B-Name").when(token.rlike("^[0-9]{8}[.]$"), "B-HospitalID")
+        .when(token.rlike("^[0-9]{4}[.]?$") & before.rlike("^[0-9]{4}$"), "I-HospitalID").when(token.rlike("^[0-9]{4}$"), "B-HospitalID").when(F.contains(token, F.lit("@")), "B-Email").otherwise("O")
+    )
+    score = F.when(F.contains(token, F.lit("@")), 0.99).otherwise(0.9)
+    return t.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x.t.start").alias("char_start"), F.col("x.t.end").alias("char_end"), label.alias("label"), score.alias("score"))
+
+
+@query(f"SELECT doc_id, start, \"end\", entity_type, score, detected_by, text, action FROM ({_CUSTOM})")
+def custom_engine(spark, sf_dir):
+    """The token classifier's engine from word labels to classified detections."""
+    return detect.rows(bio.engine(_predicted)(notes(spark, sf_dir))).select("doc_id", "start", "end", "entity_type", "score", "detected_by", "text", "action")
+
 
+_METRICS = "('total_entities_detected', true, a.total_entities_detected::DOUBLE, b.total_entities_detected::DOUBLE), ('total_entities_masked', true, a.total_entities_masked::DOUBLE, b.total_entities_masked::DOUBLE), ('ensemble_mean_confidence', true, a.ensemble_mean_confidence, b.ensemble_mean_confidence), ('processing_time_ms', false, (10 + a.doc_id % 7)::DOUBLE, (10 + a.doc_id % 5)::DOUBLE)"
+_AB = f"SELECT a.doc_id, m.metric, m.up, m.s AS standard, m.c AS custom, round(m.c - m.s, 4) AS difference FROM ({_NOTES_AUDITS}) a JOIN ({S.audits(S.NOTES_SQL, _CUSTOM)}) b ON a.doc_id = b.doc_id, LATERAL (VALUES {_METRICS}) m(metric, up, s, c)"
 
-@query(f"SELECT *, CASE WHEN difference = 0 THEN 'same' WHEN difference > 0 THEN 'better' ELSE 'worse' END AS verdict FROM ({_AB})")
+
+@query(f"SELECT doc_id, metric, standard, custom, difference, CASE WHEN difference = 0 THEN 'same' WHEN (difference > 0) = up THEN 'better' ELSE 'worse' END AS verdict FROM ({_AB})")
 def ab_compare(spark, sf_dir):
     own = notes(spark, sf_dir)
-    other = own.withColumn("__s", detect.merge(detect.recognized(F.col("text"), D.PATTERNS[:8]))).withColumn("detections", detect.classify(detect.kinship_boost(F.col("__s"), F.col("text"))))
-    return audit.compare_engines(audit.audits(detect.standard(own)), audit.audits(other))
+    a = audit.audits(detect.standard(own)).withColumn("processing_time_ms", 10 + F.col("doc_id") % 7)
+    return audit.compare_engines(a, audit.audits(bio.engine(_predicted)(own)).withColumn("processing_time_ms", 10 + F.col("doc_id") % 5))
 
 
 @query(f"SELECT doc_id, substr(md5(doc_id::VARCHAR || '|standard'), 1, 12) AS audit_id, safety_status AS status, ensemble_mean_confidence, total_entities_detected, total_entities_masked, ensemble_mean_confidence >= 0.98 AS confident FROM ({_NOTES_AUDITS})")
@@ -253,9 +371,11 @@ def history(spark, sf_dir):
     return a.select("doc_id", audit.audit_id().alias("audit_id"), F.col("safety_status").alias("status"), "ensemble_mean_confidence", "total_entities_detected", "total_entities_masked", (F.col("ensemble_mean_confidence") >= 0.98).alias("confident"))
 
 
-@query(f"SELECT * FROM ({_NOTES_AUDITS}) WHERE doc_id = 17")
+@query(f"SELECT w.doc_id, a.safety_status, a.total_entities_detected FROM (SELECT n_nationkey * 100::BIGINT AS doc_id FROM nation) w LEFT JOIN ({_NOTES_AUDITS}) a USING (doc_id)")
 def audit_lookup(spark, sf_dir):
-    return audit.audits(detect.standard(notes(spark, sf_dir).where("doc_id = 17")))
+    """Audits by key; unknown keys stay with nulls."""
+    wanted = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 100).cast("long").alias("doc_id"))
+    return wanted.join(audit.audits(detected_notes(spark, sf_dir)), "doc_id", "left").select("doc_id", "safety_status", "total_entities_detected")
 
 
 @query(f"SELECT doc_id, 'AUDIT ' || doc_id || ' detected=' || total_entities_detected || ' masked=' || total_entities_masked || ' status=' || safety_status AS line FROM ({_NOTES_AUDITS})")
@@ -289,6 +409,44 @@ def sparse_pages(spark, sf_dir):
     return geometry.sparse(_pages(spark, sf_dir), 60).select("doc_id", "page_number", "needs_ocr")
 
 
+_NATIVE = f"SELECT doc_id, page_number, CASE WHEN page_number % 2 = 0 THEN text ELSE substr(text, 1, 10) END AS text FROM ({_TURNS})"
+_OCR = f"SELECT doc_id, page_number, CASE WHEN page_number % 7 = 3 THEN '' ELSE text END AS ocr_text FROM ({_TURNS}) WHERE page_number % 5 <> 1"
+_READ = f"""SELECT doc_id, page_number, CASE WHEN sparse THEN coalesce(ocr_text, '') ELSE text END AS text, sparse AS is_ocr,
+  CASE WHEN NOT sparse THEN 'NATIVE' WHEN ocr_text IS NULL THEN 'OCR_FAILED' WHEN length(trim(ocr_text)) = 0 THEN 'EMPTY' ELSE 'OCR' END AS page_status
+FROM (SELECT *, length(trim(coalesce(text, ''))) < 20 AS sparse FROM ({_NATIVE})) LEFT JOIN ({_OCR}) USING (doc_id, page_number)"""
+
+
+def _read_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    native = pages.withColumn("text", F.when(F.col("page_number") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 10)))
+    ocr = pages.where("page_number % 5 <> 1").withColumn("text", F.when(F.col("page_number") % 7 == 3, "").otherwise(F.col("text")))
+    return geometry.with_ocr(native, ocr)
+
+
+@query(_READ)
+def ocr_pages(spark, sf_dir):
+    return _read_pages(spark, sf_dir)
+
+
+_PAGES_FOUND = S.detections(f"SELECT doc_id * 1000 + page_number AS doc_id, text FROM ({_READ})")
+
+
+@query(
+    f"""SELECT p.doc_id, any_value(p.pages_processed)::BIGINT AS pages_processed, any_value(p.ocr_used) AS ocr_used, count(f.doc_id)::BIGINT AS total_entities_detected, round(coalesce(avg(f.score) FILTER (WHERE f.action = 'MASKED'), 1.0), 4)::DOUBLE AS ensemble_mean_confidence,
+  CASE WHEN any_value(p.failed) OR coalesce(avg(f.score) FILTER (WHERE f.action = 'MASKED'), 1.0) < {D.SAFETY_THRESHOLD} THEN 'LOCKED' ELSE 'UNLOCKED' END AS safety_status
+FROM (SELECT doc_id, count(*) AS pages_processed, bool_or(is_ocr) AS ocr_used, bool_or(page_status = 'OCR_FAILED') AS failed FROM ({_READ}) GROUP BY doc_id) p LEFT JOIN ({_PAGES_FOUND}) f ON f.doc_id // 1000 = p.doc_id GROUP BY p.doc_id"""
+)
+def pages_audit(spark, sf_dir):
+    """Documents of several pages, some from OCR, some failed: these lock their document."""
+    whole = audit.of_pages(detect.standard(_read_pages(spark, sf_dir))).withColumn("__all", F.struct("doc_id", "pages_processed", "ocr_used"))
+    return audit.audits(whole, key="__all", failed="failed").select("__all.*", "total_entities_detected", "ensemble_mean_confidence", "safety_status")
+
+
+@query(f"SELECT doc_id, string_agg(regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g'), chr(10) || chr(10) ORDER BY page_number) AS text FROM ({_TURNS}) GROUP BY doc_id")
+def corpus_text(spark, sf_dir):
+    return readers.corpus_text(_pages(spark, sf_dir))
+
+
 @query(
     """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS chunk_no, l_returnflag || 'b cdef' || l_linestatus AS text, (l_quantity * 0.24)::DOUBLE AS x0, (l_quantity * 0.24 + 60)::DOUBLE AS x1 FROM lineitem),
 w AS (SELECT *, string_split(text, ' ') AS w, length(replace(text, ' ', '')) AS n FROM c),
@@ -334,11 +492,30 @@ def union_bbox(spark, sf_dir):
 
 @query(f"SELECT doc_id, start, word_no, CASE WHEN action = 'MASKED' THEN '[' || entity_type || ']' ELSE '90+' END AS label, CASE WHEN action = 'MASKED' THEN 'black' ELSE 'white' END AS fill FROM ({_RECTS}) WHERE action <> 'KEPT'")
 def mask_annotations(spark, sf_dir):
-    entities = _note_entities(spark, sf_dir)
-    out = geometry.annotations(entities, _note_words(spark, sf_dir)).join(entities.select("doc_id", "seq", "start"), ["doc_id", "seq"])
+    out = geometry.annotations(_note_entities(spark, sf_dir), _note_words(spark, sf_dir))
     return out.select("doc_id", "start", F.col("word_no").cast("long").alias("word_no"), "label", "fill")
 
 
+_LOST = f"""SELECT doc_id, seq, CASE seq % 3 WHEN 0 THEN text WHEN 1 THEN 'zzz ' || text ELSE 'qqqq' END AS text
+FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::BIGINT AS seq FROM ({S.NOTES_DETECTIONS})) WHERE action = 'MASKED'"""
+_PLACES = "SELECT *, (coalesce(list_sum(list_transform(parts[1:i], lambda x: length(x))), 0) + (i - 1) * length(needle))::BIGINT AS s FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT n.*, string_split(lower(d.text), lower(needle)) AS parts FROM ({needles}) n JOIN ({docs}) d ON d.doc_id = n.doc_id))"
+_FALLBACK = f"""WITH e AS MATERIALIZED ({_LOST}), words AS MATERIALIZED ({_NOTE_WORDS}),
+whole AS MATERIALIZED ({_PLACES.format(needles="SELECT doc_id, seq, text AS needle FROM e", docs=S.NOTES_SQL)}),
+rest AS MATERIALIZED (SELECT * FROM e WHERE (doc_id, seq) NOT IN (SELECT (doc_id, seq) FROM whole)),
+parts AS MATERIALIZED ({_PLACES.format(needles="SELECT doc_id, seq, unnest(list_filter(string_split(text, ' '), lambda x: length(x) > 2)) AS needle FROM rest", docs=S.NOTES_SQL)}),
+p AS (SELECT *, 'WHOLE' AS located_by FROM whole UNION ALL SELECT *, 'WORDS' FROM parts)
+SELECT DISTINCT p.doc_id, p.seq, p.located_by, w.word_no, (w.ws * 6)::DOUBLE AS x0, ((w.ws + w.wl) * 6)::DOUBLE AS x1 FROM p JOIN words w ON w.doc_id = p.doc_id AND w.ws + w.wl > p.s AND w.ws < p.s + length(p.needle)
+UNION ALL SELECT doc_id, seq, 'UNLOCATED', NULL, NULL, NULL FROM rest WHERE (doc_id, seq) NOT IN (SELECT (doc_id, seq) FROM parts)"""
+
+
+@query(_FALLBACK)
+def fallback_rects(spark, sf_dir):
+    """Detections whose offsets meet no word: found by their text, by words of it, or not at all."""
+    k = F.col("seq") % 3
+    lost = _note_entities(spark, sf_dir).withColumns({"start": F.col("start") + 100_000, "end": F.col("end") + 100_000, "text": F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("zzz "), "text")).otherwise("qqqq")})
+    return geometry.fallback(lost, _note_words(spark, sf_dir)).select("doc_id", "seq", "located_by", F.col("word_no").cast("long").alias("word_no"), "x0", "x1")
+
+
 # BIO
 
 _LABELS = ["O", "B-Name", "I-Name", "B-Date", "I-Date", "I-Name"]
@@ -359,6 +536,19 @@ def bio_decode(spark, sf_dir):
     return bio.decode(p)
 
 
+@query(
+    f"""WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS piece_no, CASE WHEN l_linenumber > 1 THEN l_linenumber // 2 END AS token_no, {_LABELS}[1 + l_partkey % 6] AS label FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL))
+SELECT doc_id, piece_no::BIGINT AS piece_no, CASE WHEN token_no IS NULL THEN '-100' WHEN row_number() OVER (PARTITION BY doc_id, token_no ORDER BY piece_no) = 1 THEN label ELSE regexp_replace(label, '^B-', 'I-') END AS piece_label FROM p"""
+)
+def align_pieces(spark, sf_dir):
+    """Labels of sub-token pieces."""
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    labels = F.array(*[F.lit(x) for x in _LABELS])
+    n = F.col("l_linenumber")
+    pieces = line.select(F.col("l_orderkey").alias("doc_id"), n.cast("long").alias("piece_no"), F.when(n > 1, F.floor(n / 2)).alias("token_no"), F.element_at(labels, (F.col("l_partkey") % 6 + 1).cast("int")).alias("label"))
+    return bio.align(pieces).select("doc_id", "piece_no", "piece_label")
+
+
 _STEMS = ", ".join(f"('{k}', '{v}')" for k, v in D.BIO_STEMS.items())
 _STEM_ROWS = f"""SELECT f.doc_id, f.start, f."end", CASE WHEN f.entity_type = 'PERSON' AND regexp_matches(substr(d.text, greatest(1, f.start - 79), least(80, f.start)), {S.quoted(D.DOCTOR_WORDS)}) THEN 'DoctorName' ELSE coalesce(v.stem, 'Other') END AS stem
 FROM ({S.NOTES_DETECTIONS}) f JOIN ({S.NOTES_SQL}) d ON d.doc_id = f.doc_id LEFT JOIN (VALUES {_STEMS}) v(entity_type, stem) ON v.entity_type = f.entity_type

@@ -12,9 +12,17 @@ ENGINES = ("standard", "custom_biobert")
 
 
 def pdf_files(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """Files of a folder by name; `limit` files at most if it isn't 0."""
+    """Files of a folder by name; `limit` files at most if it isn't 0. Empty files have a row too, with length 0 and no content.
+
+    Spark's scan leaves empty files out, but plans with a list of all; that list is joined with what was read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.orderBy("path").limit(limit) if limit else files
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  the list and the scan write the scheme differently
+    names = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(plain("path").alias("path"))
+    # the list holds escaped names, the scan plain ones
+    names = names.withColumn("path", F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))
+    out = names.join(files.withColumn("path", plain("path")), "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    return out.orderBy("path").limit(limit) if limit else out
 
 
 def intake(files: DataFrame, engine: str = "standard", available: tuple[str, ...] = ("standard",)) -> DataFrame:
@@ -29,6 +37,13 @@ def intake(files: DataFrame, engine: str = "standard", available: tuple[str, ...
     return files.withColumn("rejected", reason)
 
 
+def outcomes(taken: DataFrame, audit_rows: DataFrame, key: str = "path") -> DataFrame:
+    """What a client sees of each file: success (unlocked), locked, or error with the reason that it was rejected for."""
+    out = taken.select(key, "rejected").join(audit_rows.select(key, "safety_status"), key, "left")
+    state = F.when(F.col("rejected").isNotNull() | F.col("safety_status").isNull(), "error").when(F.col("safety_status") == "UNLOCKED", "success").otherwise("locked")
+    return out.select(key, state.alias("state"), F.coalesce("rejected", F.when(F.col("safety_status").isNull(), "NOT_PROCESSED")).alias("detail"))
+
+
 def extract_pages(files: DataFrame, reader: Callable[[bytes], list[str]]) -> DataFrame:
     """Pages of accepted files through a pluggable reader (bytes -> texts). A reader's failure becomes a page status, not an empty page."""
 
@@ -77,6 +92,17 @@ def read_report(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.json(path, multiLine=True)
 
 
+def model_status(report: DataFrame | None, available: bool) -> dict:
+    """Whether the model is there and how good its report says it is; 0 for what the report doesn't have."""
+    names = {"f1": "eval_f1", "precision": "eval_precision", "recall": "eval_recall"}
+    out = {"available": available, **{k: 0.0 for k in names}}
+    if report is not None and "eval_metrics" in report.columns:
+        row = report.select("eval_metrics.*").first()
+        out |= {k: float(row[n]) for k, n in names.items() if n in row and row[n] is not None}
+    out["sentences"] = (report.first()["eval_sentences"] or 0) if report is not None and "eval_sentences" in report.columns else 0
+    return out
+
+
 def model_available(spark: SparkSession, folder: str) -> bool:
     """A model counts as there only if its settings, label map and weights are, and the weights aren't a pointer of a few bytes."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
