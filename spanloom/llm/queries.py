@@ -21,7 +21,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, toxicity.train(docs, toxicity.table_labels(table(spark, sf_dir, "labels"))))
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

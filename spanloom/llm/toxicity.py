@@ -2,14 +2,16 @@
 
 The categories are predicted one after another; each later linear model also sees the earlier categories' probabilities. For training,
 those probabilities are out-of-fold ones, so that later models learn from predictions as they will be on new
-documents. The last category is the label `toxic`; the earlier ones are parts of it told apart by a short list of open insults:
-`insult` (toxic, with a word of the list) and `coded` (toxic without one).
+documents. Categories are columns of the label table, in the order given; the last one decides, at the threshold that serves its out-of-fold
+predictions best (by F1), or THRESHOLD where there is nothing to choose by. Of the labels at hand these are
+`low_quality` (quality 0) and `toxic`; a table with finer ones (insult, threat, ...) needs only their names.
 
-Features are the presence of words and word beginnings, chosen by their log-odds over a bounded sample of labelled rows: the SAMPLE rows
-with the smallest hash of doc_id. Scoring covers every document and whole texts, without a shuffle.
+Features are the presence of words and word beginnings, chosen for each category by their log-odds over a bounded sample of labelled rows: the
+SAMPLE rows with the smallest hash of doc_id. Scoring covers every document and whole texts, without a shuffle.
 
-Null text counts as empty. Without labels of both kinds nothing is toxic. Repeated labels of a document count as toxic if one is.
-Repeated rows give equal values; an empty table gives no rows.
+Null text counts as empty. A null label counts as 0, a row without any label isn't used. A category without labels of both kinds gets the
+one that there is (none at all: 0). Repeated labels of a document count as 1 if one is. Any doc_id that fits a long will do, negative ones
+too. Repeated rows give equal values; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +28,10 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import ids_and_texts, lean, staged, tidy
 
-#: At most so many labelled rows are used for fitting, and so many features kept.
+#: At most so many labelled rows are used for fitting, and so many features kept for each category.
 SAMPLE, VOCABULARY, FOLDS = 8_000, 4_096, 5
-CATEGORIES = ["insult", "coded", "toxic"]
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
-#: Open insults that tell the first category from the second.
-INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless dumb ugly fool jerk".split())
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,8 +52,8 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, more: np.ndarray, y: np.nda
     """Weights for n binary features given by (row, column) places, then the dense columns `more`, then a constant. Accelerated gradient steps."""
     m, d = len(y), more.shape[1]
     w = np.zeros(n + d + 1)
-    if m == 0:
-        w[-1] = -6.0
+    if m == 0 or y.min() == y.max():  # one kind only: that one
+        w[-1] = 6.0 if m and y[0] else -6.0
         return w
     counts = np.bincount(rows, minlength=m) + (more**2).sum(1) + 1
     rate = 1.0 / (0.25 * float(np.sqrt((counts**2).mean()) * m * 0.25) + penalty)
@@ -77,16 +76,28 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, more: np.ndarray, y: np.nda
     return w
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The threshold whose predictions have the best F1; halfway to the next lower probability, so that like documents fall on its side."""
+    order = np.argsort(-p, kind="stable")
+    p, hit = p[order], np.cumsum(y[order])
+    f1 = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
+    f1[:-1][p[:-1] == p[1:]] = -1  # equal probabilities can't be told apart
+    at = int(np.argmax(f1))
+    return float((p[at] + (p[at + 1] if at + 1 < len(p) else 0)) / 2)
+
+
 @dataclass
 class Chain:
+    categories: list[str]
     vocabulary: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
+    threshold: float = THRESHOLD
 
     def _places(self, sets: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(sets)), [len(s) for s in sets]).astype(np.int64), np.array([c for s in sets for c in s], np.int64)
 
     def fit(self, sets: list[list[int]], labels: np.ndarray, folds: np.ndarray) -> "Chain":
-        """labels: a column for each category, in the order of the chain."""
+        """labels: a column for each category, in the order of the chain; folds: a number below FOLDS for each row."""
         n, m = len(self.vocabulary), len(sets)
         earlier = np.zeros((m, 0))
         rows, cols = self._places(sets)
@@ -100,6 +111,8 @@ class Chain:
                 w = fit_logistic(number[rows[keep]], cols[keep], earlier[inside], y[inside], n)
                 out += np.where(inside, 0, self._margin(rows, cols, earlier, w, n, m))
             earlier = np.column_stack([earlier, sigmoid(out)])
+        if len(set(labels[:, -1].tolist())) == 2:
+            self.threshold = best_threshold(earlier[:, -1], labels[:, -1])
         return self
 
     @staticmethod
@@ -126,65 +139,79 @@ class Chain:
         return out
 
 
+def table_labels(labels: DataFrame) -> DataFrame:
+    """The categories of a table (doc_id, quality, toxic); a table without quality has only toxic ones."""
+    low = [F.when(F.col("quality").isNotNull(), (F.col("quality") == 0).cast("int")).alias("low_quality")] if "quality" in labels.columns else []
+    return labels.select("doc_id", *low, F.col("toxic").cast("int").alias("toxic"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """Fits the chain on a bounded sample of labelled documents."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
-    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Fits the chain on a bounded sample of labelled documents. labels: doc_id, then a column of 0 and 1 for each category, in order."""
+    categories = [c for c in labels.columns if c != "doc_id"]
+    c = [F.col(k).cast("int").alias(f"c{i}") for i, k in enumerate(categories)]
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *c).where(F.col("doc_id").isNotNull() & F.coalesce(*[f"c{i}" for i in range(len(c))]).isNotNull())
+    own = own.groupBy("doc_id").agg(F.array(*[F.coalesce(F.max(f"c{i}"), F.lit(0)) for i in range(len(c))]).alias("y"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows, so it may be broadcast
     rows = ids_and_texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     rows = staged(rows, "toxicity-sample")
 
     def listed(batches):
         for batch in batches:
-            for key, text, toxic in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 fs = sorted(features(text))
-                yield pa.RecordBatch.from_pydict({"feature": pa.array(fs, pa.string()), "toxic": pa.array([toxic] * len(fs), pa.int32())})
-
-    totals = {r["toxic"] > 0: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    nt, nc = totals.get(True, 0), totals.get(False, 0)
-    chain = Chain()
-    if not nt or not nc:
-        chain.weights = [np.array([-6.0] if not nt else [6.0]) if i == 0 else np.array([0.0] * i + [-6.0 if not nt else 6.0]) for i in range(len(CATEGORIES))]
-        return chain
-    counted = rows.mapInArrow(lean(listed), "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
-    best = counted.withColumn("odds", odds).where((F.col("t") >= 4) & (F.col("odds") > 2)).orderBy(F.desc(F.col("odds") * F.col("t")), "feature").limit(VOCABULARY)
-    chain.vocabulary = {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}
+                yield pa.RecordBatch.from_pydict({"feature": pa.array(fs, pa.string()), **{f"c{i}": pa.array([int(v > 0)] * len(fs), pa.int32()) for i, v in enumerate(y)}})
+
+    chain = Chain(categories)
+    sums = [F.sum((F.col("y")[i] > 0).cast("int")).alias(f"t{i}") for i in range(len(c))]
+    total = rows.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    counted = rows.mapInArrow(lean(listed), "feature string, " + ", ".join(f"c{i} int" for i in range(len(c))))
+    counted = counted.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"c{i}").alias(f"t{i}") for i in range(len(c))])
+    best = []
+    for i in range(len(c)):
+        nt, nc = total[f"t{i}"] or 0, total["n"] - (total[f"t{i}"] or 0)
+        if nt and nc:
+            t = F.col(f"t{i}")
+            odds = F.log((t + 0.5) / (nt + 1.0)) - F.log((F.col("n") - t + 0.5) / (nc + 1.0))
+            best.append((i, F.when((t >= 4) & (odds > 2), odds * t)))
+    if best:
+        # at most VOCABULARY features for each category come to the driver
+        weighed = counted.select("feature", *[w.alias(f"w{i}") for i, w in best])
+        counted = staged(weighed.where(F.coalesce(*[f"w{i}" for i, _ in best]).isNotNull()), "toxicity-features")
+        for i, _ in best:
+            for r in counted.where(F.col(f"w{i}").isNotNull()).orderBy(F.desc(f"w{i}"), "feature").limit(VOCABULARY).select("feature").collect():
+                chain.vocabulary.setdefault(r["feature"], len(chain.vocabulary))
     known = chain.vocabulary
 
     def sparse(batches):
+        model = Chain(categories, known)
         for batch in batches:
-            texts, toxic = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
-            model = Chain(known)
-            sets = [sorted(known[f] for f in model._known(t)) for t in texts]
-            insult = [int(bool(INSULTS & set(_WORD.findall(t.lower()))) and x > 0) for t, x in zip(texts, toxic)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32())), pa.array(insult, pa.int32()), batch.column("toxic")], names=["doc_id", "places", "insult", "toxic"])
+            sets = [sorted(known[f] for f in model._known(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32())), batch.column("y")], names=["doc_id", "places", "y"])
 
     # at most `sample` rows of places in a bounded vocabulary
-    got = rows.mapInArrow(lean(sparse), "doc_id long, places array<int>, insult int, toxic int").orderBy("doc_id").collect()
-    toxic = np.array([r["toxic"] > 0 for r in got], int)
-    insult = np.array([r["insult"] for r in got], int)
-    folds = (np.array([r["doc_id"] for r in got], np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
-    return chain.fit([r["places"] for r in got], np.column_stack([insult, toxic * (1 - insult), toxic]), folds.astype(int))
-
-
-_SCORES = "doc_id long, p_insult double, p_coded double, p_toxic double, toxic boolean, kept boolean"
+    got = rows.mapInArrow(lean(sparse), "doc_id long, places array<int>, y array<int>").orderBy("doc_id").collect()
+    y = np.array([r["y"] for r in got], int).reshape(len(got), len(c))
+    folds = (np.array([r["doc_id"] for r in got], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
+    return chain.fit([r["places"] for r in got], (y > 0).astype(int), folds.astype(int))
 
 
-def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, a probability for each category, toxic and kept."""
+def score(docs: DataFrame, chain: Chain, threshold: float | None = None) -> DataFrame:
+    """doc_id, a probability for each category (p_ and its name), toxic (by the last one) and kept."""
+    threshold = chain.threshold if threshold is None else threshold
+    names = [f"p_{c}" for c in chain.categories]
 
     def run(batches):
         for batch in batches:
             p = np.round(chain.predict(batch.column("text").to_pylist()), 9)
             toxic = p[:, -1] >= threshold
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, i]) for i in range(3)), pa.array(toxic), pa.array(~toxic)], names=["doc_id", "p_insult", "p_coded", "p_toxic", "toxic", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, i]) for i in range(len(names))), pa.array(toxic), pa.array(~toxic)], names=["doc_id", *names, "toxic", "kept"])
 
-    return ids_and_texts(docs).mapInArrow(lean(run), _SCORES)
+    return ids_and_texts(docs).mapInArrow(lean(run), f"doc_id long, {', '.join(f'{n} double' for n in names)}, toxic boolean, kept boolean")
 
 
-def keep_documents(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
+def keep_documents(docs: DataFrame, chain: Chain, threshold: float | None = None) -> DataFrame:
     """The documents that aren't toxic, with all their columns."""
+    threshold = chain.threshold if threshold is None else threshold
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
