@@ -4,7 +4,9 @@ Every rolling k-gram of every document's words is hashed and joined with the pos
 offset diagonal (document position minus template position) that it lies on; the template positions met are collected by diagonal
 as bits of a long (a template has fewer than 64), neighbouring
 diagonals of a template are merged (words put in or left out), and a merged span is verified: the words of
-each hit are compared, the words covered must make up enough of the template, and the span must not be much longer than it.
+each hit are compared, the words covered (by all hits of the merged diagonals) must make up enough of the template, and the span must not be
+much longer than it. Templates share phrases, so a span that overlaps another template's verified span with more words covered (of equal ones,
+the earlier template's) isn't labelled. Base places always stay.
 
 The templates are the fixed list below, so their side of the join is broadcast: its size doesn't depend on the data. Only hits are
 shuffled. Null text has no words. Documents without hits get a row with no labels. Repeated rows are documents of their
@@ -35,8 +37,8 @@ TEMPLATES = [
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
 ]
-#: Diagonals so near belong together; so much of a template must be covered; a span may be so many times its length.
-NEAR, COVERED, STRETCH = 4, 0.6, 1.5
+#: Diagonals so near belong together; so many percent of a template must be covered; a span may have so many percent of its length.
+NEAR, COVERED, STRETCH = 4, 60, 150
 #: The word pattern, on text whose letters A-Z needn't be lower-cased yet.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,41 +79,43 @@ _RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 
 def resolve(votes: list[dict], texts: list[tuple[list[str], str, bool]]) -> tuple:
     """From a document's votes (template, diagonal, places: a bit for each template position met) to its labels."""
-    places, base, found, score, spans = [], set(), set(), 0.0, []
-    by: dict[int, list[dict]] = {}
+    places, base, verified, score, spans = [], set(), [], 0.0, set()
+    by: dict[int, list[tuple[int, list[int]]]] = {}
     for v in votes:
         if v["template"] >= 0:
-            met = [p for p in range(v["places"].bit_length()) if v["places"] >> p & 1]
-            by.setdefault(v["template"], []).append({"diagonal": v["diagonal"], "met": met})
+            by.setdefault(v["template"], []).append((v["diagonal"], [p for p in range(v["places"].bit_length()) if v["places"] >> p & 1]))
     for i in sorted(by):
         words, label, is_base = texts[i]
-        lines = sorted(by[i], key=lambda v: v["diagonal"])
-        if is_base:
-            for v in lines:
-                if len(v["met"]) == len(words) - K + 1:
-                    places.append(v["diagonal"])
-                    base.add(label)
-                    spans.append((v["diagonal"], v["diagonal"] + len(words), label))
-                    score = 1.0
-        merged: list[list[dict]] = []
-        for v in lines:
-            if merged and v["diagonal"] - merged[-1][-1]["diagonal"] <= NEAR:
-                merged[-1].append(v)
+        merged: list[list[tuple[int, list[int]]]] = []
+        for diagonal, met in sorted(by[i]):
+            if is_base and len(met) == len(words) - K + 1:
+                places.append(diagonal)
+                base.add(label)
+                spans.add((diagonal, diagonal + len(words), label))
+            if merged and diagonal - merged[-1][-1][0] <= NEAR:
+                merged[-1].append((diagonal, met))
             else:
-                merged.append([v])
+                merged.append([(diagonal, met)])
         for group in merged:
-            covered: set[int] = set()
-            for v in group:
-                for p in v["met"]:  # the words of each hit; a replaced word is a gap between hits
-                    covered.update(range(p, p + K))
-            share = len(covered) / len(words)
-            start, end = min(v["diagonal"] + v["met"][0] for v in group), max(v["diagonal"] + v["met"][-1] + K for v in group)
-            score = max(score, min(share, 1.0))
-            if share >= COVERED and end - start <= STRETCH * len(words):
-                found.add(label)
-                if not is_base or share < 1:
-                    spans.append((start, end, label))
-    labels = sorted(base | found)
+            # the words of each hit; a replaced word is a gap between hits
+            covered = len({q for _, met in group for p in met for q in range(p, p + K)})
+            start, end = min(d + met[0] for d, met in group), max(d + met[-1] + K for d, met in group)
+            score = max(score, covered / len(words))
+            if 100 * covered >= COVERED * len(words) and 100 * (end - start) <= STRETCH * len(words):
+                verified.append((start, end, (covered, -i), label))
+    verified.sort()
+    longest = max((v[1] - v[0] for v in verified), default=0)
+    beaten = set()
+    for a, x in enumerate(verified):
+        for b in range(a + 1, len(verified)):
+            y = verified[b]
+            if y[0] >= x[0] + longest:
+                break
+            if y[0] < x[1] and x[2][1] != y[2][1]:
+                beaten.add(a if x[2] < y[2] else b)
+    found = [v for a, v in enumerate(verified) if a not in beaten]
+    spans.update((start, end, label) for start, end, _, label in found)
+    labels = sorted(base | {v[3] for v in found})
     return len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(labels), round(score, 6), ",".join(f"{x}:{a}:{b}" for a, b, x in sorted(spans))
 
 

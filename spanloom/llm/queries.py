@@ -112,6 +112,39 @@ SELECT page_id, payload_bytes,
 FROM b
 """
 
+def _op9() -> str:
+    """Diagonal voting in SQL: hits by a join of k-grams, diagonals merged by a running sum, overlaps settled by NOT EXISTS."""
+    rows = ", ".join(f"({i}, '{' '.join(words)}', '{label}', {str(base).lower()})" for i, (words, label, base) in enumerate(licenses.templates()))
+    k = licenses.K
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT template, string_split(words, ' ') AS tw, label, base, len(string_split(words, ' ')) AS n FROM (VALUES {rows}) v(template, words, label, base)),
+tg AS (SELECT template, p - 1 AS p, array_to_string(tw[p:p + {k - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, n - {k - 2})) AS p FROM t)),
+dg AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM d WHERE len(w) >= {k})),
+v AS (SELECT doc_id, template, pos - p AS diagonal, list(p ORDER BY p) AS met FROM dg JOIN tg USING (g) GROUP BY ALL),
+b AS (SELECT doc_id, label, diagonal, diagonal + n AS past FROM v JOIN t USING (template) WHERE base AND len(met) = n - {k - 1}),
+m AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS line FROM (
+    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {licenses.NEAR} THEN 0 ELSE 1 END AS fresh FROM v)),
+g AS (
+  SELECT doc_id, template, label, n, covered, start, past FROM (
+    SELECT doc_id, template, line, len(list_distinct(flatten(list(flatten(list_transform(met, lambda p: range(p, p + {k}))))))) AS covered, min(diagonal + met[1]) AS start, max(diagonal + met[-1] + {k}) AS past
+    FROM m GROUP BY ALL) JOIN t USING (template)),
+f AS (SELECT * FROM g WHERE 100 * covered >= {licenses.COVERED} * n AND 100 * (past - start) <= {licenses.STRETCH} * n),
+x AS (
+  SELECT * FROM f WHERE NOT EXISTS (
+    SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.template <> f.template AND (o.covered > f.covered OR o.covered = f.covered AND o.template < f.template) AND o.start < f.past AND f.start < o.past)),
+s AS (SELECT doc_id, string_agg(label || ':' || start || ':' || past, ',' ORDER BY start, past, label) AS spans, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, start, past, label FROM x UNION SELECT doc_id, diagonal, past, label FROM b) GROUP BY doc_id),
+bb AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+gg AS (SELECT doc_id, max(covered::DOUBLE / n) AS score FROM g GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, round(coalesce(score, 0), 6)::DOUBLE AS score, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN bb USING (doc_id) LEFT JOIN gg USING (doc_id)
+"""
+
+
 _OP10 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -132,4 +165,4 @@ FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": _OP4, "op6_warc": _OP6, "op10_neardup": _OP10}
+    return {"op4_quality": _OP4, "op6_warc": _OP6, "op9_licenses": _op9(), "op10_neardup": _OP10}
