@@ -2,9 +2,11 @@
 
 Only lengths matter for packing, and there are at most `capacity` of them, so the plan is made on the histogram
 of lengths (bounded whatever the input) by bin completion: take the largest document left, enumerate the
-undominated fillings of the room beside it, branch on the best ones, and prune by the waste that any
-solution must have. Best-fit decreasing is the first incumbent. A plan is a list of fillings with how
-often each is used; documents of a length are then numbered (two-phase, no single task) and looked up in the plan.
+undominated fillings of the room beside it, those that waste least first, and branch on them; a branch ends where the waste so far and the
+waste that the rest must have leave no plan better than the incumbent. Best-fit decreasing is the first incumbent, and the search stops as soon as
+a plan has as few sequences as the lower bound. Fillings are enumerated lazily and in full; only the number of nodes is limited
+(NODES and a share for each length), and where it is reached the best plan so far stands. A plan is a list of fillings with how
+often each is used; documents of a length are then numbered (two-phase, no single task) and looked up in the plan by binary search.
 
 Null text counts as empty (one end id). Longer documents are cut into full pieces first; only the last piece is
 packed with others. Repeated rows are documents of their own; null doc_ids stay null. An empty table gives no rows.
@@ -14,19 +16,20 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanloom.llm.common import ids_and_texts, lean, slices, staged
+from spanloom.llm.common import ids_and_texts, lean, settled, slices, staged
 from spanloom.llm.wordbpe import WordBpe
 
 CAPACITY = 4096
-#: Search effort: nodes of the branch-and-bound, fillings looked at for one bin, and documents in a filling that are
-#: enumerated. Beyond them the incumbent stands; every document is packed in any case.
-NODES, FILLINGS, DEPTH = 400, 12, 4
+#: Nodes of the branch-and-bound: so many, and so many more for each length in the histogram (a plan takes about a node a length).
+NODES, NODES_A_LENGTH = 2_000, 2
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -80,55 +83,84 @@ def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ..
     return out
 
 
-def _fillings(left: dict[int, int], sizes: list[int], largest: int, capacity: int, most: int = FILLINGS, depth: int = DEPTH) -> list[tuple[int, ...]]:
-    """Undominated fillings around the largest document: none of its documents (nor the room left) could be swapped for a larger one that fits.
+def _spread(sums: int, width: int) -> int:
+    """Bits moved up by 0 to width places."""
+    done = 0
+    while done < width:
+        step = min(done + 1, width - done)
+        sums |= sums << step
+        done += step
+    return sums
 
-    The best ones by room left, then by fewer documents.
+
+def _reachable(sizes: list[int], left: dict[int, int], room: int) -> list[int]:
+    """Bit s of entry i: the i smallest sizes, as often as they are left, can add up to s <= room."""
+    mask, out = (1 << room + 1) - 1, [1]
+    for s in sizes:
+        sums, n, step = out[-1], min(left[s], room // s), 1
+        while n:
+            step = min(step, n)
+            sums |= sums << step * s & mask
+            n -= step
+            step *= 2
+        out.append(sums)
+    return out
+
+
+def dominated(filling: list[int], left: dict[int, int], room: int) -> bool:
+    """Could a larger document stand for some of these, or for the room that they leave? Then what the swap frees fits wherever that one did.
+
+    left: what is there beside the largest document. A document x can stand for a part of the filling that adds up to s if
+    s <= x <= s + the room left; one document of the same length is no change.
+    """
+    slack = room - sum(filling)
+    single = several = 0
+    sums = 1
+    for s in filling:
+        several |= (sums & ~1) << s
+        single |= 1 << s
+        sums |= sums << s
+    spare = sum(1 << s for s, n in left.items() if s <= room and n > filling.count(s))
+    better = _spread(several, slack)
+    if slack:
+        better |= _spread(single << 1, slack - 1) | _spread(2, slack - 1)
+    return bool(better & spare)
+
+
+def fillings(left: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """The undominated fillings of a room as (documents, largest first; room left), those that leave least first, up to `most_waste`."""
+    sizes = sorted(s for s in left if s <= room)
+    reach = _reachable(sizes, left, room)
+
+    def exactly(total: int, top: int, chosen: list[int]) -> Iterator[list[int]]:
+        if not total:
+            yield chosen
+        for i in range(min(top, bisect.bisect_right(sizes, total)), 0, -1):
+            if not reach[i] >> total & 1:
+                return  # nor can fewer sizes
+            s = sizes[i - 1]
+            for n in range(min(left[s], total // s), 0, -1):
+                yield from exactly(total - n * s, i - 1, chosen + [s] * n)
+
+    for waste in range(min(most_waste, room) + 1):
+        if reach[-1] >> room - waste & 1:
+            for chosen in exactly(room - waste, len(sizes), []):
+                if not dominated(chosen, left, room):
+                    yield tuple(chosen), waste
+
+
+def _sure_waste(left: dict[int, int], capacity: int) -> int:
+    """Room that any plan leaves beside documents which not even the smallest one fits beside."""
+    smallest = min(left)
+    return sum(n * (capacity - s) for s, n in left.items() if s + smallest > capacity)
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings (lengths, largest first) and how often each is used, for all documents of the histogram.
+
+    A branch uses a filling for as many sequences as can be, then for one fewer, and so on; fillings beside equal documents come in the order
+    of their enumeration, so that no plan is met twice.
     """
-    found: dict[tuple[int, ...], int] = {}
-
-    def grow(room: int, top: int, chosen: list[int], deep: int) -> None:
-        if len(found) >= most:
-            return
-        i = bisect.bisect_right(sizes, room, 0, top) - 1
-        tries = 0
-        while i >= 0 and tries < 3:
-            s = sizes[i]
-            if left[s] - chosen.count(s) - (s == largest) > 0:
-                tries += 1
-                if deep == 1 or s == room:
-                    rest, more = room - s, [s]
-                    j = bisect.bisect_right(sizes, rest, 0, i + 1) - 1
-                    while j >= 0 and rest:
-                        t = sizes[j]
-                        n = min(rest // t, left[t] - (chosen + more).count(t) - (t == largest))
-                        more += [t] * max(n, 0)
-                        rest -= t * max(n, 0)
-                        j = min(j - 1, bisect.bisect_right(sizes, rest, 0, j) - 1)
-                    found[tuple([largest, *chosen, *more])] = rest
-                    if not rest:
-                        return
-                else:
-                    grow(room - s, i + 1, [*chosen, s], deep - 1)
-                    if found and min(found.values()) == 0:
-                        return
-            i -= 1
-        if tries == 0:
-            found[tuple([largest, *chosen])] = room
-
-    grow(capacity - largest, len(sizes), [], depth)
-    keep = sorted(found, key=lambda f: (found[f], len(f)))
-    return [f for f in keep if not any(_dominates(g, f) for g in keep if g != f and len(g) == len(f))][:most]
-
-
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """One document for one, `a` has at least as large ones: `b` needn't be tried."""
-    a, b = tuple(sorted(a, reverse=True)), tuple(sorted(b, reverse=True))
-    return a != b and all(x >= y for x, y in zip(a, b))
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings (lengths, largest first) and how often each is used, for all documents of the histogram."""
     counts = {int(k): int(v) for k, v in counts.items() if v}
     if not counts:
         return []
@@ -138,43 +170,38 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     bins = lambda p: sum(t for _, t in p)
     least = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
     best = _best_fit(counts, capacity)
-    spent = 0
-    # depth first: (bins used, waste so far, fillings so far, what is left)
-    stack: list[tuple[int, int, list, dict[int, int]]] = [(0, 0, [], counts)]
-    while stack and bins(best) > least and spent < nodes:
-        used, waste, done, left = stack.pop()
-        spent += 1
-        done, left = list(done), dict(left)
-        sizes = sorted(left)
-        # go down along the best filling, keeping the others for later
-        while left:
-            slack = (bins(best) - 1) * capacity - total - waste
-            if slack < 0:
-                break  # any completion wastes too much to beat the incumbent
-            largest = sizes[-1]
-            options = _fillings(left, sizes, largest, capacity)
-            options = [f for f in options if capacity - sum(f) <= slack]
-            if not options:
-                break
-            if len(options) > 1 and len(stack) < nodes and len(done) < 8:
-                for f in reversed(options[1:3]):
-                    rest = dict(left)
-                    _take(rest, f, 1)
-                    stack.append((used + 1, waste + capacity - sum(f), [*done, (f, 1)], rest))
-            f = options[0]
-            need: dict[int, int] = {}
-            for s in f:
-                need[s] = need.get(s, 0) + 1
-            room = capacity - sum(f)
-            times = min(left[s] // n for s, n in need.items())
+    budget = NODES + NODES_A_LENGTH * len(counts) if nodes is None else nodes
+    spare = lambda: (bins(best) - 1) * capacity - total  # noqa: E731  waste that a better plan may have
+
+    def branches(left: dict[int, int], waste: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
+        """(filling, times, waste) beside the largest document left."""
+        largest = max(left)
+        rest = dict(left)
+        _take(rest, (largest,), 1)
+        for chosen, room in fillings(rest, capacity - largest, spare() - waste):
+            filling = (largest, *chosen)
+            times = min(left[s] // filling.count(s) for s in set(filling))
             if room:
-                times = max(1, min(times, slack // room))
-            _take(left, f, times)
-            sizes = [s for s in sizes if s in left] if any(s not in left for s in need) else sizes
-            used, waste = used + times, waste + room * times
-            done.append((f, times))
-        if not left and used < bins(best):
-            best = done
+                times = min(times, (spare() - waste) // room)
+            for t in range(times, 0, -1):
+                yield filling, t, waste + room * t
+
+    stack = [(branches(counts, 0), [], counts)] if bins(best) > least else []
+    while stack and bins(best) > least and budget > 0:
+        options, done, left = stack[-1]
+        step = next(options, None)
+        if step is None:
+            stack.pop()
+            continue
+        budget -= 1
+        filling, times, waste = step
+        rest, so_far = dict(left), [*done, (filling, times)]
+        _take(rest, filling, times)
+        if not rest:
+            if bins(so_far) < bins(best):
+                best = so_far
+        elif waste + _sure_waste(rest, capacity) <= spare():
+            stack.append((branches(rest, waste), so_far, rest))
     return [(tuple(sorted(f, reverse=True)), t) for f, t in best]
 
 
@@ -202,29 +229,34 @@ def slots(fillings: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, nodes: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to staged rows that have a `length` (and are not recomputed differently when read twice)."""
-    spark = rows.sparkSession
     # at most `capacity` rows, whatever the input
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
-    table = slots(plan(histogram, capacity, nodes))
-    lookup = spark.createDataFrame(table, "length long, first long, ranks long, each long, sequence long, base long")
+    # bounded too: a plan has about a filling a length, and fewer than sqrt(2 * capacity) different lengths in a filling
+    table = np.array(sorted(slots(plan(histogram, capacity, nodes))), np.int64).reshape(-1, 6)
     # number the rows of each length: counts by input partition, their running sums, then places within the partition
     marked = rows.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
     marked = staged(marked, "packing-marked")
-    from pyspark.sql import Window
-
     before = marked.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = before.withColumn("__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__part")) - F.col("__n")).drop("__n")
     place = F.row_number().over(Window.partitionBy("__part", "length").orderBy("__row")) - 1
-    # the plan has some entries for each of at most `capacity` lengths; each row finds its one by a search in its length's sorted list
-    ranked = marked.withColumn("__place", place).join(before, ["__part", "length"]).withColumn("__rank", F.col("__place") + F.col("__before")).drop("__place", "__before", "__part", "__row")
-    found = ranked.join(F.broadcast(lookup), ["length"]).where((F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("first") + F.col("ranks")))
-    k = F.col("__rank") - F.col("first")
-    sequence = F.col("sequence") + F.floor(k / F.col("each")).cast("long")
-    return found.withColumn("sequence_id", sequence).withColumn("offset", F.col("base") + (k % F.col("each")) * F.col("length")).select(*rows.columns, "sequence_id", "offset")
+    ranked = marked.withColumn("__place", place).join(before, ["__part", "length"]).withColumn("__rank", F.col("__place") + F.col("__before"))
+    columns = [c for c in rows.columns]
+    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def placed(batches):
+        length, first, _, each, sequence, base = table.T
+        key = length << 44 | first  # fewer than 2**44 documents of a length
+        for batch in batches:
+            n, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__rank"))
+            at = np.searchsorted(key, n << 44 | rank, "right") - 1
+            k = rank - first[at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence[at] + k // each[at]), pa.array(base[at] + k % each[at] * n)], names=[*columns, "sequence_id", "offset"])
+
+    return ranked.select(*columns, F.col("__rank").cast("long").alias("__rank")).mapInArrow(placed, schema)
 
 
 def best_fit(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for all documents."""
-    return pack(staged(pieces(docs, tokenizer, end_id, capacity), "packing-pieces"), capacity)
+    return settled(docs.sparkSession, "packing", lambda: pack(staged(pieces(docs, tokenizer, end_id, capacity), "packing-pieces"), capacity))
