@@ -22,25 +22,33 @@ SPAN = "struct<start:bigint,end:bigint,entity_type:string,score:double,detected_
 
 def _found(text: str, p: D.Pattern, check: str | None = None) -> str:
     """SQL: a recognizer's spans as an array of SPAN. A cheap test of the pattern spares the offsets where nothing matches."""
-    found = X.spans_sql(text, p.regex)
+    found = X.spans_sql(text, p.regex, p.first)
     if check:
         found = f"filter({found}, s -> {X.passes(check, 's.text')})"
     span = f"named_struct('start', s.start, 'end', s.end, 'entity_type', '{p.entity}', 'score', {p.score}D, 'detected_by', 'presidio', 'text', s.text, 'pattern_name', '{p.name}')"
-    return f"if({text} rlike {X.literal(X.java(p.regex))}, transform({found}, s -> {span}), cast(array() as array<{SPAN}>))"
+    return f"if({text} rlike {X.literal(X.java(p.regex, p.first))}, transform({found}, s -> {span}), {_NONE})"
 
 
-def _all(parts: list[str]) -> Column:
-    return F.expr(f"concat({', '.join([f'cast(array() as array<{SPAN}>)', *parts])})")
+_NONE = f"cast(array() as array<{SPAN}>)"
+
+
+def _all(text: str, chosen: list[tuple[D.Pattern, str | None]]) -> Column:
+    """The spans of several recognizers; what they need is tested once for all that need the same."""
+    groups: dict[str, list[str]] = {}
+    for p, check in chosen:
+        groups.setdefault(p.needs, []).append(_found(text, p, check))
+    parts = [f"if({text} rlike {X.literal(needs)}, concat({', '.join([_NONE, *each])}), {_NONE})" if needs else f"concat({', '.join([_NONE, *each])})" for needs, each in groups.items()]
+    return F.expr(f"concat({', '.join([_NONE, *parts])})")
 
 
 def recognized(text: str, patterns: list[D.Pattern] | None = None) -> Column:
     """Spans of the pattern recognizers in a text column, as an array."""
-    return _all([_found(text, p) for p in (D.PATTERNS if patterns is None else patterns)])
+    return _all(text, [(p, None) for p in (D.PATTERNS if patterns is None else patterns)])
 
 
 def general(text: str, names: list[str]) -> Column:
     """Spans of general recognizers (e-mail, IP, card, ...) that pass their check."""
-    return _all([_found(text, *D.GENERAL[n]) for n in names])
+    return _all(text, [D.GENERAL[n] for n in names])
 
 
 def _quoted(term: str) -> str:
@@ -60,7 +68,6 @@ def swept(text: Column) -> Column:
     """
     sql = lambda x: "'" + x.replace("\\", "\\\\") + "'"
     terms = ", ".join(f"named_struct('term', {sql(t)}, 'regex', {sql(_whole(_quoted(t)))}, 'entity', '{entity}', 'score', {score}D)" for ts, entity, score in D.GAZETTEERS for t in ts)
-    some = _whole("|".join(sorted({_quoted(t) for ts, _, _ in D.GAZETTEERS for t in ts})))
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
 
     def found(t: Column) -> Column:
@@ -70,7 +77,7 @@ def swept(text: Column) -> Column:
         )
 
     every = X.bind(F.lower(text), lambda low: F.flatten(F.transform(F.filter(F.expr(f"array({terms})"), lambda t: F.contains(low, t["term"])), found)))
-    return F.when(text.rlike(some), every).otherwise(empty)
+    return F.when(text.rlike(D.MEDICAL), every).otherwise(empty)
 
 
 #: Characters before a span in which its context words are looked for first; a text whose words are longer is read from its start.
@@ -199,7 +206,8 @@ def classify(spans: Column) -> Column:
 
 def analyzed(text: str, extra: list[str] | None = None, named: Named | None = None) -> Column:
     """What the first source finds: all recognizers, raised by context, over the threshold, without spans held by others of their kind."""
-    found = F.concat(recognized(text), general(text, GENERAL if extra is None else extra), *([named(F.col(text))] if named else []))
+    own = _all(text, [*((p, None) for p in D.PATTERNS), *(D.GENERAL[n] for n in (GENERAL if extra is None else extra))])
+    found = F.concat(own, *([named(F.col(text))] if named else []))
     return X.bind(found, lambda f: without_contained(over_threshold(context_boost(f, F.col(text)))))
 
 
