@@ -95,16 +95,34 @@ def _slot(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(SLOTS)).cast("int")
 
 
-def heavy_keys(df: DataFrame, key: str) -> list[tuple[int, int]]:
+class Heavy(list):
+    """(slot, salts) of heavy slots, with one table of them: joins that use the same one can share their exchanges."""
+
+    table: DataFrame | None = None
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        if self.table is None:
+            self.table = spark.createDataFrame(list(self), "__slot int, __salts int")
+        return self.table
+
+    def with_more(self, other: "Heavy") -> "Heavy":
+        """The slots of both, each with the larger number of salts."""
+        both = dict(self)
+        for slot, n in other:
+            both[slot] = max(n, both.get(slot, 0))
+        return Heavy(sorted(both.items()))
+
+
+def heavy_keys(df: DataFrame, key: str) -> Heavy:
     """(slot, salts) of the heavy slots, by a count that is combined on the map side. Salts grow with a slot's rows, so that each
     salt's share is about that of the lightest slot in the list."""
     counts = df.where(F.col(key).isNotNull()).groupBy(_slot(key).alias("__slot")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HEAVY_ROWS)
     rows = counts.orderBy(F.desc("__n"), "__slot").limit(HEAVY_SLOTS).collect()
     share = HEAVY_ROWS if len(rows) < HEAVY_SLOTS else rows[-1]["__n"]
-    return [(r["__slot"], -(-r["__n"] // share)) for r in rows]
+    return Heavy((r["__slot"], -(-r["__n"] // share)) for r in rows)
 
 
-def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", heavy: list[tuple[int, int]] | None = None) -> DataFrame:
+def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", heavy: Heavy | None = None) -> DataFrame:
     """Joins `many` with `one` (unique by `key`), dealing the rows of heavy keys over several tasks.
 
     heavy: what heavy_keys() found, where `many` is costly to compute twice. Null keys of `many` match nothing (a left join keeps
@@ -115,15 +133,16 @@ def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hea
         raise ValueError(how)
     heavy = heavy_keys(many, key) if heavy is None else heavy
     own = F.xxhash64(*[c for c in many.columns if c != key], F.spark_partition_id())
-    if not heavy and how == "inner":
-        return many.join(one, key)
-    named = many.sparkSession.createDataFrame(heavy, "__slot int, __salts int")
     if not heavy:
-        named = named.limit(0)
-    spread = many.withColumn("__slot", _slot(key)).join(F.broadcast(named), "__slot", "left")
+        if how == "inner":
+            return many.join(one, key)
+        spread = many.withColumn("__salt", F.when(F.col(key).isNull(), F.pmod(own, F.lit(_NULL_SALTS)).cast("int")).otherwise(0))
+        return spread.join(one.where(F.col(key).isNotNull()).withColumn("__salt", F.lit(0)), [key, "__salt"], how).drop("__salt")
+    named = F.broadcast(heavy.rows(many.sparkSession))
+    spread = many.withColumn("__slot", _slot(key)).join(named, "__slot", "left")
     salts = F.when(F.col(key).isNull(), F.lit(_NULL_SALTS)).otherwise(F.coalesce("__salts", F.lit(1)))
     spread = spread.withColumn("__salt", F.pmod(own, salts).cast("int")).drop("__slot", "__salts")
-    copies = one.where(F.col(key).isNotNull()).withColumn("__slot", _slot(key)).join(F.broadcast(named), "__slot", "left")
+    copies = one.where(F.col(key).isNotNull()).withColumn("__slot", _slot(key)).join(named, "__slot", "left")
     copies = copies.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__slot", "__salts")
     return spread.join(copies, [key, "__salt"], how).drop("__salt")
 

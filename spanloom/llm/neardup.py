@@ -3,8 +3,9 @@
 1. Each document's set of word shingles is hashed (64 bits), made unique and described by a MinHash signature; documents with equal sets fall
    together at once (summed on the map side) and only one of each set goes on.
 2. The forest: tree t orders the sets by the signature rotated to its t-th part. Each order is dealt by range, so no group lands in one
-   task, and read in order; neighbours whose longest common prefix has LEAST components or more share a region. Regions of over CROWD
-   sets are also split into parts by up to four further components. Parts only find links sooner: what must be compared is the region.
+   task, and read in order; neighbours whose longest common prefix has LEAST components or more share a region. Where over CROWD
+   sets of a region stand together they are also split into parts by up to four further components. Parts only find links sooner: what must
+   be compared is the region.
 3. Each region and each part tests one pivot (the set that meets most others in all trees, so that a hub's links are found first)
    against its other sets: at most two pairs for a row. Pairs whose signatures agree far too little (five standard deviations below the
    threshold) are dropped, the others are confirmed on their full sets.
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import heavy_keys, ids_and_texts, lean, skew_join, slices, staged, with_possible
+from spanloom.llm.common import heavy_keys, ids_and_texts, lean, settled, skew_join, slices, staged, with_possible
 
 SIZE, PERCENT = 5, 80  #: words of a shingle; intersection and union in percent
-HASHES, TREES, LEAST, DEEPEST, CROWD = 128, 32, 4, 12, 256
+HASHES, TREES, LEAST, CROWD = 128, 32, 4, 256
 LIKELY = 0.8 - 5 * (0.8 * 0.2 / HASHES) ** 0.5
 _R = np.random.RandomState(20240501)
 _BYTES = _R.randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,68 +134,70 @@ def _rows_of_trees(batches):
         if not batch.num_rows:
             continue
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
-        rep = np.array(batch.column("rep").to_pylist(), np.int64)
+        rep = batch.column("rep")
         for t in range(TREES):
             c = sig[:, [(t * step + j) % HASHES for j in range(8)]]
             p = [((c[:, 2 * j] << np.uint64(32)) | c[:, 2 * j + 1]).view(np.int64) for j in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rep), t, np.int32)), *map(pa.array, p), pa.array(rep)], names=["tree", "p1", "p2", "p3", "p4", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), *map(pa.array, p), rep], names=["tree", "p1", "p2", "p3", "p4", "rep"])
 
 
-_REGION = "kind string, part int, tree int, p1 long, p2 long, p3 long, p4 long, rep long, region long"
+_REGION = "open boolean, rep long, region long, part long"
+_REGION_ARROW = pa.schema([("open", pa.bool_()), ("rep", pa.int64()), ("region", pa.int64()), ("part", pa.int64())])
+
+
+def _deeper(part: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Parts of rows in order, those of over CROWD rows told apart by a further component."""
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(part)]]))
+    return np.where(np.repeat(sizes > CROWD, sizes), _mix(part.view(np.uint64) + _mix(more.view(np.uint64))).view(np.int64), part)
 
 
 def _regions(batches):
-    """Marks the rows of sorted partitions that share a region with a neighbour; the first and last region go out as open, since they may reach into the next partition."""
-    held: list[pd.DataFrame] = []
-    begun = False
+    """The rows of a sorted partition that share a region with a neighbour. A first or last row without one goes out as open: its region may reach
+    into the partition beside. One row at most is held from batch to batch.
 
-    def named(rows: pd.DataFrame, kind: str) -> pd.DataFrame:
-        name = int.from_bytes(blake2b(f"{rows.tree.iat[0]} {rows.p1.iat[0]} {rows.p2.iat[0]}".encode(), digest_size=8).digest(), "little", signed=True)
-        return rows.assign(kind=kind, region=name)
+    Adaptive depth: where a region has over CROWD rows in a batch, its parts have up to four further components in common. Parts order the work, so
+    it doesn't matter that another batch may divide the same region otherwise.
+    """
+    held, last, first = None, None, True
 
-    def out(frames: list[pd.DataFrame]):
-        return pa.RecordBatch.from_pandas(pd.concat(frames)[["kind", "part", "tree", "p1", "p2", "p3", "p4", "rep", "region"]], preserve_index=False)
+    def out(cols, opened):
+        tree, p1, p2, p3, p4, rep = cols
+        name = _mix(p1.view(np.uint64) ^ _mix(p2.view(np.uint64) + tree.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(opened), pa.array(rep), pa.array(name), pa.array(_deeper(_deeper(name, p3), p4))], schema=_REGION_ARROW)
 
     for batch in batches:
-        df = batch.to_pandas()
-        if not len(df):
+        if not batch.num_rows:
             continue
-        if held:
-            df = pd.concat([*held, df], ignore_index=True)
-        k = df[["tree", "p1", "p2"]].to_numpy()
-        cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-        bounds = [0, *cuts.tolist(), len(df)]
-        frames = []
-        for a, b in zip(bounds[:-2], bounds[1:-1]):
-            if not begun:
-                frames.append(named(df.iloc[a:b], "open"))
-                begun = True
-            elif b - a > 1:
-                frames.append(named(df.iloc[a:b], "region"))
-        held = [df.iloc[bounds[-2] :]]
-        if frames:
-            yield out(frames)
-    if held and len(held[0]):
-        yield out([named(held[0], "open")])
+        cols = [batch.column(c).to_numpy() for c in ("tree", "p1", "p2", "p3", "p4", "rep")]
+        if held is not None and len(held[0]):
+            cols, last = [np.concatenate(x) for x in zip(held, cols)], None  # a row that is held isn't as the one before it
+        k = np.stack([c.astype(np.int64) for c in cols[:3]], 1)
+        same = (k[1:] == k[:-1]).all(1)  # as the next one
+        before = np.concatenate([[last is not None and bool((k[0] == last).all())], same])
+        after = np.concatenate([same, [False]])
+        take, opened = before | after, np.zeros(len(k), bool)
+        end = len(k) if before[-1] else len(k) - 1  # a last row that is alone so far waits
+        if first and end:
+            take[0], opened[0], first = True, not before[0] and not after[0], False
+        chosen = np.flatnonzero(take[:end])
+        if len(chosen):
+            yield out([c[chosen] for c in cols], opened[chosen])
+        held, last = [c[end:] for c in cols], k[-1]
+    if held is not None and len(held[0]):
+        yield out(held, np.ones(1, bool))
 
 
 def forest(reps: DataFrame) -> DataFrame:
     """(region, part, rep) of all regions with two sets or more; part is the region itself where it isn't crowded. reps: rep and sig."""
     order = ["tree", "p1", "p2", "p3", "p4", "rep"]
     rows = reps.mapInArrow(_rows_of_trees, _TREE)
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    marked = staged(rows.mapInArrow(_regions, _REGION), "neardup-regions")
-    # open regions that met no other row have one row after all
-    whole = marked.where("kind = 'open'").groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
-    closed = marked.where("kind = 'region'")
-    joined = marked.where("kind = 'open'").join(whole, "region").select(closed.columns)
-    both = closed.unionByName(joined)
-    both = both.withColumn("part", F.col("region"))
-    # adaptive depth: parts of crowded regions are told apart by further components
-    for depth, more in ((6, "p3"), (8, "p4")):
-        crowded = both.groupBy("part").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CROWD)
-        # fewer than rows / CROWD names; joined with a shuffle if they are many
-        both = both.join(crowded, "part", "left").withColumn("part", F.when(F.col("__n").isNull(), F.col("part")).otherwise(F.xxhash64("part", more))).drop("__n")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = staged(rows.mapInArrow(lean(_regions), _REGION), "neardup-regions")
+    # open rows that met no other row are alone after all; there are two a partition at most
+    opened = marked.where("open").select("region").distinct()
+    joint = marked.join(F.broadcast(opened), "region").groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
+    both = marked.where("not open").unionByName(marked.where("open").join(F.broadcast(joint), "region", "left_semi").select(marked.columns))
     return both.select("region", "part", "rep")
 
 
@@ -211,10 +214,10 @@ def pivots(members: DataFrame, heavy: list) -> DataFrame:
 
 
 def _joined(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """a, b and the values of both; pairs are a written table."""
-    heavy = {c: heavy_keys(pairs, c) for c in ("a", "b")}
-    first = skew_join(pairs, values.select(F.col("rep").alias("a"), F.col(column).alias("va")), "a", heavy=heavy["a"])
-    return skew_join(first, values.select(F.col("rep").alias("b"), F.col(column).alias("vb")), "b", heavy=heavy["b"])
+    """a, b and the values of both; pairs are a written table. Both joins deal the values out alike, so they are shuffled once."""
+    heavy = heavy_keys(pairs, "a").with_more(heavy_keys(pairs, "b"))
+    first = skew_join(pairs, values.select(F.col("rep").alias("a"), F.col(column).alias("va")), "a", heavy=heavy)
+    return skew_join(first, values.select(F.col("rep").alias("b"), F.col(column).alias("vb")), "b", heavy=heavy)
 
 
 def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -389,6 +392,10 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document, by shingles of `size` words."""
+    return settled(docs.sparkSession, "neardup", lambda: _near_duplicates(docs, percent, size))
+
+
+def _near_duplicates(docs: DataFrame, percent: int, size: int) -> DataFrame:
     marked = staged(signed(docs, size), "neardup-signed")
     known = marked.where("doc_id is not null and key is not null")
     reps = staged(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")), "neardup-reps")
@@ -399,7 +406,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -
         return _with_repeats(docs, percent, size)
     sigs = reps.select("rep", "sig")
     members = staged(forest(sigs), "neardup-members")
-    weight = skew_join(members, members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region").groupBy("rep").agg(F.sum("m").alias("weight"))
+    crowded, hubs = heavy_keys(members, "region"), heavy_keys(members, "rep")
+    weight = skew_join(members, members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region", heavy=crowded).groupBy("rep").agg(F.sum("m").alias("weight"))
     weight = staged(weight.join(reps.select("rep", "n"), "rep"), "neardup-weights")
     # only sets that share a region need their full hashes again
     wanted = weight.select(F.col("rep").alias("doc_id"))
@@ -412,7 +420,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -
                 yield pa.RecordBatch.from_pydict({"rep": pa.array(keys[a:b], pa.int64()), "set": pa.array([s.tobytes() for s in shingle_sets(texts[a:b], size)], pa.binary())})
 
     sets = staged(own.mapInArrow(lean(full), "rep long, set binary"), "neardup-sets")
-    crowded, hubs = heavy_keys(members, "region"), heavy_keys(members, "rep")
     here = staged(skew_join(members, weight.withColumn("comp", F.col("rep")), "rep", heavy=hubs), "neardup-here")
     # pivots of the parts, and of the undivided regions that have parts
     parts = pivots(here.drop("region").withColumnRenamed("part", "region"), heavy_keys(members, "part"))
@@ -456,7 +463,7 @@ def _with_repeats(docs: DataFrame, percent: int, size: int) -> DataFrame:
 
 def keep_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """One document of each group, with all its columns; documents with a null doc_id stay. docs is read several times: a written table is best."""
-    marked = staged(near_duplicates(docs, percent, size), "neardup-result")
+    marked = near_duplicates(docs, percent, size)
     gone = marked.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
     split = with_possible(docs, "doc_id", gone)
     decided = split.where("__possible").join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
