@@ -149,17 +149,33 @@ def fillings(left: dict[int, int], room: int, most_waste: int) -> Iterator[tuple
                     yield tuple(chosen), waste
 
 
-def _sure_waste(left: dict[int, int], capacity: int) -> int:
-    """Room that any plan leaves beside documents which not even the smallest one fits beside."""
-    smallest = min(left)
-    return sum(n * (capacity - s) for s, n in left.items() if s + smallest > capacity)
+#: Step functions of the lower bound: the k-th counts a document by how many of k + 1 equal parts of the capacity it fills.
+STEPS = 20
+#: Nodes whose enumeration is held open; that of a node further up is begun anew when the search comes back to it, so memory is bounded.
+HELD = 16
+
+
+def _weights(capacity: int) -> np.ndarray:
+    """What a document of each length weighs, in parts of k * capacity, under each step function (Fekete and Schepers' dual feasible ones): in any
+    sequence the weights add up to k * capacity at most. The first row is plain length."""
+    x = np.arange(capacity + 1, dtype=np.int64)
+    rows = [x]
+    for k in range(1, STEPS + 1):
+        rows.append(np.where((k + 1) * x % capacity == 0, k * x, (k + 1) * x // capacity * capacity))
+    return np.array(rows)
+
+
+def _least(counts: np.ndarray, weights: np.ndarray, capacity: int) -> int:
+    """A lower bound of the sequences that these documents need: the waste that any plan must have is in it."""
+    room = capacity * np.array([1, *range(1, len(weights))], np.int64)
+    return int((-(-(weights @ counts) // room)).max())
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None) -> list[tuple[tuple[int, ...], int]]:
     """Fillings (lengths, largest first) and how often each is used, for all documents of the histogram.
 
     A branch uses a filling for as many sequences as can be, then for one fewer, and so on; fillings beside equal documents come in the order
-    of their enumeration, so that no plan is met twice.
+    of their enumeration.
     """
     counts = {int(k): int(v) for k, v in counts.items() if v}
     if not counts:
@@ -167,14 +183,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = N
     if min(counts) < 1 or max(counts) > capacity:
         raise ValueError("lengths must lie between 1 and the capacity")
     total = sum(k * v for k, v in counts.items())
-    bins = lambda p: sum(t for _, t in p)
-    least = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
+    weights = _weights(capacity)
+    vector = np.zeros(capacity + 1, np.int64)
+    for s, n in counts.items():
+        vector[s] = n
+    least = _least(vector, weights, capacity)
     best = _best_fit(counts, capacity)
+    fewest = sum(t for _, t in best)
     budget = NODES + NODES_A_LENGTH * len(counts) if nodes is None else nodes
-    spare = lambda: (bins(best) - 1) * capacity - total  # noqa: E731  waste that a better plan may have
+    spare = lambda: (fewest - 1) * capacity - total  # noqa: E731  waste that a better plan may have
 
-    def branches(left: dict[int, int], waste: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
-        """(filling, times, waste) beside the largest document left."""
+    def branches(left: dict[int, int], waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """(filling, times) beside the largest document left."""
         largest = max(left)
         rest = dict(left)
         _take(rest, (largest,), 1)
@@ -184,24 +204,52 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = N
             if room:
                 times = min(times, (spare() - waste) // room)
             for t in range(times, 0, -1):
-                yield filling, t, waste + room * t
-
-    stack = [(branches(counts, 0), [], counts)] if bins(best) > least else []
-    while stack and bins(best) > least and budget > 0:
-        options, done, left = stack[-1]
-        step = next(options, None)
+                yield filling, t
+
+    def after(left: dict[int, int], waste: int, tried: tuple[tuple[int, ...], int]) -> Iterator[tuple[tuple[int, ...], int]]:
+        """The branches that come after one that was tried."""
+        met = False
+        for filling, t in branches(left, waste):
+            if filling == tried[0]:
+                met = True
+                if t < tried[1]:
+                    yield filling, t
+            elif met:
+                yield filling, t
+
+    # one histogram for the whole search: a step takes from it, coming back puts back
+    left, path, waste, used = dict(counts), [], 0, 0
+    held: dict[int, Iterator] = {0: branches(dict(left), 0)}
+    while fewest > least and budget > 0:
+        depth = len(path)
+        step = next(held[depth], None)
         if step is None:
-            stack.pop()
+            del held[depth]
+            if not path:
+                break
+            filling, times = path.pop()
+            for s in filling:
+                left[s] = left.get(s, 0) + times
+                vector[s] += times
+            used, waste = used - times, waste - times * (capacity - sum(filling))
+            if depth - 1 not in held:
+                held[depth - 1] = after(dict(left), waste, (filling, times))
             continue
         budget -= 1
-        filling, times, waste = step
-        rest, so_far = dict(left), [*done, (filling, times)]
-        _take(rest, filling, times)
-        if not rest:
-            if bins(so_far) < bins(best):
-                best = so_far
-        elif waste + _sure_waste(rest, capacity) <= spare():
-            stack.append((branches(rest, waste), so_far, rest))
+        filling, times = step
+        room = capacity - sum(filling)
+        _take(left, filling, times)
+        for s in filling:
+            vector[s] -= times
+        path.append(step)
+        used, waste = used + times, waste + times * room
+        if not left and used < fewest:
+            best, fewest = list(path), used
+        if left and waste <= spare() and used + _least(vector, weights, capacity) < fewest:
+            held[depth + 1] = branches(dict(left), waste)
+            held.pop(depth + 1 - HELD, None)
+        else:
+            held[depth + 1] = iter(())
     return [(tuple(sorted(f, reverse=True)), t) for f, t in best]
 
 
